@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import embedding_dedup, exact_topk, mixing
 from ._common import table
 from .quality_classifier import quality_scores
 from .secret_scan import scan_report
+from .simhash_dedup import dedup_report
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 
@@ -22,6 +23,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(table(spark, sf_dir, "documents"))
 
@@ -34,15 +43,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_mixing": op2_mixing,
+        "op4_simhash_dedup": op4_simhash_dedup,
+        "op5_exact_topk": op5_exact_topk,
         "op6_secret_scan": op6_secret_scan,
         "op8_toxicity": op8_toxicity,
         "op9_quality_classifier": op9_quality_classifier,
+        "op10_embedding_dedup": op10_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.ORACLE}
+    return {"op2_mixing": mixing.ORACLE, "op5_exact_topk": exact_topk.ORACLE, "op10_embedding_dedup": embedding_dedup.ORACLE}
