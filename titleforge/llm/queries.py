@@ -10,7 +10,9 @@ from . import embedding_dedup, exact_topk, mixing
 from ._common import table
 from .quality_classifier import quality_scores
 from .secret_scan import scan_report
+from .sentencepiece_codec import encode_documents
 from .simhash_dedup import dedup_report
+from .substring_dedup import dedup_report as passage_report
 from .toxicity import toxicity_scores
 from .url_filter import judge_urls
 
@@ -23,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,9 +61,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_mixing": op2_mixing,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_simhash_dedup": op4_simhash_dedup,
         "op5_exact_topk": op5_exact_topk,
         "op6_secret_scan": op6_secret_scan,
+        "op7_sentencepiece": op7_sentencepiece,
         "op8_toxicity": op8_toxicity,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_embedding_dedup": op10_embedding_dedup,
