@@ -47,6 +47,7 @@ UNKNOWN_PENALTY = 10.0
 #: Fixed values of the model format: kinds of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+NO_PAIR = float("-inf")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -85,7 +86,9 @@ class Codec:
     model: int = BPE
     dummy_prefix: bool = True
     _kept: dict[str, bytes] = field(default_factory=dict, repr=False)
-    _merged: dict[str, bool] = field(default_factory=dict, repr=False)
+    _merged: dict[str, dict[str, bool]] = field(default_factory=dict, repr=False)
+    _n_merged: int = 0
+    _coded: dict[str, bytes] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER_DEFINED)]
@@ -94,12 +97,20 @@ class Codec:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
+        # by their last three characters, how long pieces can be; shorter ones are always tried
+        ends: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {1, 2}).add(len(p))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.unknown_score = min(self.score_of.values(), default=0.0) - UNKNOWN_PENALTY
         long = [p for p in self.ids if len(p) > 1]
-        if any(MARK in p.lstrip(MARK) for p in long) or any(c.isspace() for p in long for c in p):
+        inside = {c for p in long for c in p}
+        alone = "".join(c for c in "\n\r\t" if c not in inside)  # no merge passes these
+        if any(MARK in p.lstrip(MARK) for p in long):
             self.words = re.compile(r"(?s).+")  # pieces span words here
         else:
-            self.words = re.compile(rf"{MARK}*[^{MARK}\s]+|{MARK}+|\s")
+            self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|[{alone}]" * bool(alone))
         self.values = [self._value(i) for i in range(len(self.pieces))]
 
     def _value(self, i: int) -> bytes:
@@ -135,26 +146,29 @@ class Codec:
 
     def merge(self, text: str) -> list[str]:
         """The result of merging: best pair first, of equal ones the leftmost."""
-        parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.score_of.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = (s, i)
-            if best is None:
-                return parts
-            i = best[1]
+        parts, score = list(text), self.score_of.get
+        pairs = [score(a + b, NO_PAIR) for a, b in zip(parts, parts[1:])]
+        while pairs:
+            best = max(pairs)
+            if best == NO_PAIR:
+                break
+            i = pairs.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
-    def _stands(self, left: str, right: str) -> bool:
+            del pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + parts[i], NO_PAIR)
+            if i < len(pairs):
+                pairs[i] = score(parts[i] + parts[i + 1], NO_PAIR)
+        return parts
+
+    def _follow(self, left: str, right: str) -> bool:
         """Whether merging the characters of two pieces gives the two pieces."""
-        key = f"{left}\0{right}"
-        got = self._merged.get(key)
-        if got is None:
-            if len(self._merged) > 4 * KEPT:
-                self._merged.clear()
-            got = self._merged[key] = self.merge(left + right) == ([left, right] if left else [right])
+        self._n_merged += 1
+        if self._n_merged > 4 * KEPT:
+            self._merged.clear()
+            self._n_merged = 0
+        got = self.merge(left + right) == ([left, right] if left else [right])
+        self._merged.setdefault(left, {})[right] = got
         return got
 
     # forward passes over sorted words
@@ -162,15 +176,23 @@ class Codec:
     def _bpe(self, words: list[str]) -> Iterator[list[str]]:
         last: list[str] = [""]  # last[i]: the piece that ends the prefix of length i
         before = ""
+        ids, merged, none, ends, short = self.ids, self._merged, {}, self.ends, (2, 1)
         for word in words:
             keep = _shared(before, word)
             del last[keep + 1 :]
             for i in range(keep + 1, len(word) + 1):
-                for n in range(min(i, self.longest), 0, -1):
-                    piece = word[i - n : i]
-                    if (n == 1 or piece in self.ids) and self._stands(last[i - n], piece) and (i == n or self._stands("", piece)):
-                        last.append(piece)
-                        break
+                for n in ends.get(word[i - 3 : i], short) if i > 2 else short:
+                    if n > i:
+                        continue
+                    at = i - n
+                    piece = word[at:i]
+                    if n == 1 or piece in ids:
+                        ok = merged.get(last[at], none).get(piece)
+                        if ok is None:
+                            ok = self._follow(last[at], piece)
+                        if ok:
+                            last.append(piece)
+                            break
                 else:
                     raise AssertionError(f"no segmentation of {word[:i]!r}")
             before = word
@@ -208,12 +230,16 @@ class Codec:
         """Pieces of each of the sorted ``words``."""
         return self._bpe(words) if self.model == BPE else self._viterbi(words)
 
-    def _ids_of(self, piece: str) -> list[int]:
+    def _id_bytes(self, piece: str) -> bytes:
         i = self.ids.get(piece)
         if i is not None:
-            return [i]
-        raw = piece.encode("utf-8", "surrogatepass")
-        return [self.byte_ids[b] for b in raw] if self.byte_ids else [self.unknown]
+            own = [i]
+        elif self.byte_ids:
+            own = [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+        else:
+            own = [self.unknown]
+        got = self._coded[piece] = np.array(own, np.int32).tobytes()
+        return got
 
     # texts
 
@@ -223,24 +249,21 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.words.findall(self.marked(t)) for t in texts]
-        kept = self._kept
+        kept, coded = self._kept, self._coded
         if len(kept) > KEPT:
             kept.clear()
         new = sorted({w for words in cut for w in words if w not in kept})
         for word, found in zip(new, self.segment(new)):
-            kept[word] = np.array([i for p in found for i in self._ids_of(p)], np.int32).tobytes()
+            kept[word] = b"".join([coded.get(p) or self._id_bytes(p) for p in found])
         return [np.frombuffer(b"".join(map(kept.__getitem__, words)), np.int32) for words in cut]
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.values.__getitem__, ids.tolist())).decode("utf-8", "replace" if not self.byte_ids else "surrogatepass" if self._valid(ids) else "replace")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
-
-    def _valid(self, ids: np.ndarray) -> bool:
+        raw = b"".join(map(self.values.__getitem__, ids.tolist()))
         try:
-            b"".join(map(self.values.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")
+            text = raw.decode("utf-8", "surrogatepass")
         except UnicodeDecodeError:
-            return False
-        return True
+            text = raw.decode("utf-8", "replace")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
 def _shared(a: str, b: str) -> int:
