@@ -1,21 +1,49 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids: five stages, each written and read again.
+
+Every stage works on all rows that the one before kept; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from titleforge.llm._common import materialize, table
+from titleforge.llm.mixing import mixed
 from titleforge.llm.quality_classifier import keep_good
+from titleforge.llm.secret_scan import redacted
+from titleforge.llm.sentencepiece_codec import encode_documents
+from titleforge.llm.simhash_dedup import deduplicated
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the ranking doesn't reject."""
+    """Drop the documents that the ranking rejects."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return deduplicated(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask credentials; every document stays."""
+    return redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or leave out documents until sources have their target weights."""
+    return mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids, exact of every document."""
+    return encode_documents(docs)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("encode", encode)]
 
-#: The stages learn models; DuckDB can't express them.
+#: The first stage is a learned model, which SQL can't express; tests check the rest by brute force.
 ORACLE_SQL = None
 
 
