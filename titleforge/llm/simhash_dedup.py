@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import arrow_map, materialize
 from .components import connected_components, forest
@@ -220,15 +221,38 @@ def links(fps: DataFrame, n: int) -> DataFrame:
     return arrow_map(fps.select("fp"), deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(meet, "a long, b long")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
-    rows = materialize(fingerprints(docs), "fingerprints")
+def named_components(rows: DataFrame) -> DataFrame:
+    """Rows with doc_id and fp -> per distinct fp its component_id and label.
+
+    The label (a fingerprint) tells components apart even without ids.
+    """
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     labels = connected_components(links(distinct, distinct.count()))
     named = distinct.join(labels.withColumnRenamed("v", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_fp = named.select("fp", "label").join(least, "label").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return named.select("fp", "label").join(least, "label")
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of every document."""
+    rows = materialize(fingerprints(docs), "fingerprints")
+    return rows.join(named_components(rows).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: that of the least id."""
+    names = docs.columns
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "_simhash_fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())])
+    whole = materialize(arrow_map(docs, run, schema).withColumn("_simhash_row", F.monotonically_increasing_id()), "fingerprinted")
+    rows = whole.select("_simhash_row", "doc_id", F.col("_simhash_fp").alias("fp"))
+    labelled = rows.join(named_components(rows).select("fp", "label"), "fp")
+    first = labelled.groupBy("label").agg(F.min_by("_simhash_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_simhash_row")).alias("_simhash_row"))
+    return whole.join(first.select("_simhash_row"), "_simhash_row", "left_semi").select(*names)
 
 
 def _hex(fp: Column) -> Column:
