@@ -118,7 +118,7 @@ def collapse_repetitions(text: Column) -> Column:
 def cap_tokens(rows: DataFrame, key: str, text: str, most: int = 6, least_words: int = 30) -> DataFrame:
     """``text`` with at most ``most`` of each token of three letters or more."""
     words = F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))
-    each = rows.select(key, F.size(words).alias("_n"), F.posexplode(words).alias("_at", "_w"))
+    each = rows.select(key, F.posexplode(words).alias("_at", "_w")).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
     nth = Window.partitionBy(key, "_w").orderBy("_at")
     kept = each.withColumn("_k", F.row_number().over(nth)).where((F.col("_n") < least_words) | (F.col("_k") <= most) | (F.length("_w") < 3))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_w"))), lambda s: s["_w"]), " ").alias(text))
