@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .tamil import fix_orphans_text, has_tamil_text, transliterate_text
@@ -38,7 +39,8 @@ _INITIAL = r"\b[a-z]\.\s*"
 def normalize_name(name: Column) -> Column:
     s = F.lower(F.trim(name))
     for front in FRONT:
-        s = F.when(s.startswith(front), F.trim(F.substr(s, F.lit(len(front) + 1), F.length(s)))).otherwise(s)
+        # one mention of s each: nested conditions would triple the expression every time
+        s = F.regexp_replace(s, "^" + front.replace(".", r"\.") + r"\s*", "")
     return F.trim(F.regexp_replace(F.regexp_replace(s, _INITIAL, ""), r"\s+", " "))
 
 
@@ -135,6 +137,6 @@ def similarity(a: str | None, b: str | None) -> float:
     return given * 0.85 if p1 or p2 else given
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
