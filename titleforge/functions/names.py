@@ -45,7 +45,7 @@ def normalize_name(name: Column) -> Column:
 
 
 def split_parties(names: Column) -> Column:
-    return F.filter(F.transform(F.split(F.trim(names), PARTY_SPLIT), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(F.trim(names), PARTY_SPLIT), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def name_parts(name: Column) -> Column:

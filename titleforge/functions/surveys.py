@@ -79,7 +79,7 @@ def survey_match(a: Column, b: Column) -> Column:
 
 def split_surveys(text: Column) -> Column:
     """The survey numbers of a list; soil codes (like 4-3) are left out."""
-    parts = F.filter(F.transform(F.split(ascii_digits(text), "[,;]+"), F.trim), lambda p: (p != "") & ~p.rlike(r"^[0-9]{1,2}-[0-9]{1,2}$"))
+    parts = F.filter(F.transform(F.split(ascii_digits(text), "[,;]+"), lambda p: F.trim(p)), lambda p: (p != "") & ~p.rlike(r"^[0-9]{1,2}-[0-9]{1,2}$"))
     leading = r"^([0-9]+[a-zA-Z]?(?:[/\-][0-9]+[a-zA-Z]?[0-9]*)*)"
     inside = r"\b([0-9]{2,}[a-zA-Z]?(?:[/\-][0-9]+[a-zA-Z]?[0-9]*)*)"
 
