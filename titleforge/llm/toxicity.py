@@ -42,7 +42,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Prior documents per feature, shared between the kinds by their sizes.
 PRIOR = 1.0
 #: Standard errors, and log-odds, from which evidence counts.
-SIGNIFICANT = 3.5
+SIGNIFICANT = 3.0
 LEAST_ODDS = 3.5
 #: Statistics are cut to this range for the calibration.
 RANGE = (-15.0, 15.0)
