@@ -56,6 +56,7 @@ def threshold_top_k(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, queries: l
     out = []
     for row, q in queries:
         pos, neg = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        lists = len(pos) + len(neg)
         own = where.get(row, -1)
         seen = np.zeros(n, bool)
         if own >= 0:
@@ -64,19 +65,21 @@ def threshold_top_k(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, queries: l
         depth = 0
         while depth < n:
             to = min(n, max(DEPTH, depth * DEEPER))
-            new = np.zeros(n, bool)
-            new[order[n - to : n - depth, pos].ravel()] = True
-            new[order[depth:to, neg].ravel()] = True
-            if not len(pos) + len(neg):
-                new[:] = True
-                to = n
-            new &= ~seen
-            fresh = np.flatnonzero(new)
-            seen |= new
+            unseen = n - np.count_nonzero(seen)
+            if unseen <= (to - depth) * lists // 4 or not lists:
+                # fewer rows are left than the next entries of all lists: score them instead
+                fresh, to = np.flatnonzero(~seen), n
+            else:
+                before = seen.copy()
+                seen[order[n - to : n - depth, pos]] = True
+                seen[order[depth:to, neg]] = True
+                fresh = np.flatnonzero(seen & ~before)
             found = np.concatenate([found, fresh])
-            scores = np.concatenate([scores, x[fresh] @ q])
+            # many rows: a product over all needs no copy of theirs
+            own_scores = (x @ q)[fresh] if 4 * len(fresh) > n else x[fresh] @ q
+            scores = np.concatenate([scores, own_scores])
             if len(found) > k:
-                best = np.lexsort((ids[found], -scores))[:k] if len(found) < 4 * k else _best(ids, found, scores, k)
+                best = _best(ids, found, scores, k)
                 found, scores = found[best], scores[best]
             depth = to
             if depth < n and len(found) >= k:
