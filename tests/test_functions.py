@@ -101,3 +101,14 @@ def test_page_quality(spark):
 def test_keyword_score(spark):
     words = F.array(F.lit("311/1"), F.lit("survey"), F.lit("owner"))
     assert values(spark, retrieval.keyword_score(words, F.col("a")), ["owner only", "SURVEY 311/1", ""]) == [0.25, 0.75, 0.0]
+
+
+def test_deed_hints(spark):
+    from titleforge.functions import preparse
+
+    text = "R/Vadavalli/Book 1/5909/2012 S.F.No. 317/1A PAN ABCDE 1234F sold for Rs. 45,00,000/- by cheque. dry land, agricultural. free from all encumbrance. deed dated 1990"
+    (got, none) = values(spark, preparse.deed_hints(F.col("a")), [text, ""])
+    assert (got.registration_number, got.document_number, got.sro) == ("R/Vadavalli/Book1/5909/2012", "5909/2012", "Vadavalli")
+    assert got.survey_numbers == ["317/1A"] and got.pan_numbers == ["ABCDE1234F"] and got.consideration_amount == 4500000.0
+    assert (got.land_classification, got.payment_mode, got.encumbrance_free, got.property_type, got.ownership_transfers) == ("Dry", "Cheque", True, "agricultural", 1)
+    assert none.registration_number is None and none.consideration_amount is None and not none.encumbrance_free

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .scalars import ascii_digits
 
@@ -59,7 +64,11 @@ def _digit_changed(a: Column, b: Column) -> Column:
 
 def survey_match(a: Column, b: Column) -> Column:
     """exact, subdivision, ocr_fuzzy or mismatch of two survey numbers."""
-    na, nb = normalize_survey(a), normalize_survey(b)
+    return match_normal(normalize_survey(a), normalize_survey(b))
+
+
+def match_normal(na: Column, nb: Column) -> Column:
+    """The same for normal forms; cheaper to plan where these are columns already."""
     pa, pb = survey_parts(na), survey_parts(nb)
     has = lambda c: c != ""
     same_base = (pa["base"] == pb["base"]) & has(pa["base"])
@@ -92,3 +101,38 @@ def split_surveys(text: Column) -> Column:
 
 def any_survey_match(a: Column, b: Column) -> Column:
     return F.exists(a, lambda x: F.exists(b, lambda y: survey_match(x, y) != "mismatch"))
+
+
+def match_text(a: str | None, b: str | None) -> str:
+    """The same comparison of two normal forms in plain Python."""
+
+    def parts(s: str) -> tuple[str, str, str]:
+        p = s.split("/")
+        second = p[1] if len(p) > 1 else ""
+        m = re.fullmatch(r"([0-9]+)([a-z]\w*)?", second)
+        return p[0], m[1] if m else second, p[2] if len(p) > 2 else (m[2] or "") if m else ""
+
+    if not a or not b:
+        return "mismatch"
+    if a == b:
+        return "exact"
+    (base_a, sub_a, last_a), (base_b, sub_b, last_b) = parts(a), parts(b)
+    if base_a and base_a == base_b:
+        if bool(sub_a) != bool(sub_b) or (sub_a and sub_a == sub_b and bool(last_a) != bool(last_b)):
+            return "subdivision"
+        if sub_a != sub_b or last_a != last_b:
+            return "mismatch"
+    if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
+        return "mismatch"
+    if len(a) == len(b):
+        odd = [(x, y) for x, y in zip(a, b) if x != y]
+        return "ocr_fuzzy" if len(odd) == 1 and not (odd[0][0].isdigit() and odd[0][1].isdigit()) else "mismatch"
+    long, short = (a, b) if len(a) > len(b) else (b, a)
+    extra = [c for i, c in enumerate(long) if long[:i] + long[i + 1 :] == short]
+    return "ocr_fuzzy" if extra and not extra[0].isdigit() else "mismatch"
+
+
+@pandas_udf(T.StringType())
+def match_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """For pairs by the million: the expression takes longer to plan than this to run."""
+    return pd.Series([match_text(x, y) for x, y in zip(a, b)], dtype="object")

@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.jurisdiction import jurisdiction
 from ..functions.names import name_similarity, normalize_name, normalize_village
 from ..functions.scalars import parse_date, suspiciously_round
-from ..functions.surveys import VALID, normalize_survey, survey_kind, survey_match
+from ..functions.surveys import VALID, match_pairs, normalize_survey, survey_kind
 from ..functions.tamil import garbled
 from ..sources.cases import CaseTables
 from .chain import CHAIN_RELEVANT
@@ -51,6 +52,11 @@ def check(rows: DataFrame, code: str | Column, severity: str | Column, status: s
     return rows.select("case_id", lit(code).alias("rule_code"), lit(severity).alias("severity"), lit(status).alias("status"), evidence.alias("evidence"), (F.col("filename") if filename is None else filename).cast("string").alias("filename"))
 
 
+def once(c: Column) -> Column:
+    """A column that later filters can't take apart: they would turn its branches into one huge condition."""
+    return F.explode(F.array(c))
+
+
 def union(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -116,8 +122,10 @@ def plausibility(t: CaseTables, as_of: str) -> DataFrame:
 @rule
 def area_consistency(t: CaseTables, as_of: str) -> DataFrame:
     """Deed areas against the extents of the matching surveys of a patta, and each other."""
-    wanted = t.surveys.where("document_type = 'SALE_DEED'").select("case_id", F.col("survey").alias("deed_survey")).distinct()
-    met = t.patta_surveys.join(wanted, "case_id").where(survey_match(F.col("survey_no"), F.col("deed_survey")) != "mismatch").select("case_id", "filename", "doc_ord", "pos", "sqft").distinct()
+    wanted = t.surveys.where("document_type = 'SALE_DEED'").select("case_id", normalize_survey(F.col("survey")).alias("deed_survey")).distinct()
+    own = t.patta_surveys.withColumn("normal", once((normalize_survey(F.col("survey_no")))))
+    met = own.join(wanted, "case_id").select("case_id", "filename", "doc_ord", "pos", "sqft", (match_pairs(F.col("normal"), F.col("deed_survey"))).alias("m"))
+    met = met.where("m <> 'mismatch'").drop("m").distinct()
     matched = met.groupBy("case_id", "filename", "doc_ord").agg(F.sum("sqft").alias("sqft"))
     areas = union(t.deeds.select("case_id", "filename", "doc_ord", "sqft"), matched.select("case_id", "filename", "doc_ord", "sqft")).where("sqft > 0")
     a, b = areas, areas.toDF("case_id", "other", "ord_b", "sqft_b")
@@ -147,10 +155,8 @@ def _survey_clusters(t: CaseTables) -> DataFrame:
     """case_id, document_type, survey, cluster: greedy, in the order of documents."""
     rows = t.surveys.groupBy("case_id", normalize_survey(F.col("survey")).alias("normal")).agg(F.min(F.struct("doc_ord", "survey")).alias("first"), F.sort_array(F.collect_set("document_type")).alias("kinds"))
     rows = rows.where("normal <> ''").select("case_id", "normal", "first.doc_ord", "first.survey", "kinds")
-    a = rows.select("case_id", F.col("normal").alias("a"), F.col("survey").alias("sa"))
-    b = rows.select("case_id", F.col("normal").alias("b"), F.col("survey").alias("sb"))
-    # both tests (same base, or one edit apart) keep the first character or the length within one
-    pairs = a.join(b, "case_id").where("a < b").withColumn("match", survey_match(F.col("sa"), F.col("sb"))).where("match <> 'mismatch'").select("case_id", "a", "b", "match")
+    a, b = rows.select("case_id", F.col("normal").alias("a")), rows.select("case_id", F.col("normal").alias("b"))
+    pairs = a.join(b, "case_id").where("a < b").select("case_id", "a", "b", (match_pairs(F.col("a"), F.col("b"))).alias("m")).where("m <> 'mismatch'").select("case_id", "a", "b")
     kind = rows.schema["case_id"].dataType.simpleString()
 
     def group(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -167,20 +173,21 @@ def _survey_clusters(t: CaseTables) -> DataFrame:
         return pd.DataFrame({"case_id": left["case_id"], "normal": left["normal"], "kinds": left["kinds"], "cluster": label})
 
     left = rows.select("case_id", "doc_ord", "normal", "kinds").toDF("case_id", "doc_ord", "normal", "kinds")
-    return left.groupBy("case_id").cogroup(pairs.toDF("case_id", "a", "b", "match").groupBy("case_id")).applyInPandas(group, f"case_id {kind}, normal string, kinds array<string>, cluster int")
+    return left.groupBy("case_id").cogroup(pairs.toDF("case_id", "a", "b").groupBy("case_id")).applyInPandas(group, f"case_id {kind}, normal string, kinds array<string>, cluster int")
 
 
 @rule
 def survey_numbers(t: CaseTables, as_of: str) -> DataFrame:
     none = F.lit("")
-    head = t.ec.where(F.col("survey_number").isNotNull()).select("case_id", "filename", F.col("survey_number").alias("head"))
+    head = t.ec.where(F.col("survey_number").isNotNull()).select("case_id", "filename", once((normalize_survey(F.col("survey_number")))).alias("head"))
     rows = t.transactions.where(F.trim(F.coalesce("survey_number", F.lit(""))) != "")
-    inside = rows.select("case_id", "filename", "survey_number").join(head, ["case_id", "filename"]).withColumn("ok", survey_match(F.col("head"), F.col("survey_number")) != "mismatch")
+    both = rows.select("case_id", "filename", once((normalize_survey(F.col("survey_number")))).alias("own")).join(head, ["case_id", "filename"])
+    inside = both.select("case_id", "filename", (match_pairs(F.col("head"), F.col("own"))).alias("m")).withColumn("ok", F.col("m") != "mismatch")
     odd = inside.groupBy("case_id", "filename").agg(F.count_if(~F.col("ok")).alias("n"), F.count("*").alias("of")).where("n > 0")
     internal = check(odd, "DET_EC_INTERNAL_SURVEY_INCONSISTENCY", "HIGH", "WARNING", F.format_string("%d of %d rows", "n", "of"))
     kinds = t.surveys.withColumn("k", survey_kind(F.col("survey"))).where("k <> ''").groupBy("case_id").agg(F.sort_array(F.collect_set("k")).alias("k"), F.lit("").alias("filename")).where(F.size("k") > 1)
     types = check(kinds, "DET_SURVEY_TYPE_DIFF", "MEDIUM", "INFO", F.array_join("k", ","))
-    clusters = _survey_clusters(t)
+    clusters = t._kept(_survey_clusters(t))  # five checks read it
     by_case = clusters.groupBy("case_id").agg(F.countDistinct("cluster").alias("n"), F.array_join(F.sort_array(F.collect_list("normal")), ",").alias("all"))
     several = clusters.join(by_case.where("n > 1"), "case_id")
     only = several.groupBy("case_id", "cluster").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("kinds")))).alias("k"), F.array_join(F.sort_array(F.collect_list("normal")), ",").alias("s"))
@@ -190,7 +197,7 @@ def survey_numbers(t: CaseTables, as_of: str) -> DataFrame:
     # how members of a cluster are alike is only told where there are several clusters
     a = several.select("case_id", "cluster", F.col("normal").alias("a"))
     b = several.select("case_id", "cluster", F.col("normal").alias("b"))
-    alike = a.join(b, ["case_id", "cluster"]).where("a < b").withColumn("m", survey_match(F.col("a"), F.col("b")))
+    alike = a.join(b, ["case_id", "cluster"]).where("a < b").select("case_id", "a", "b", (match_pairs(F.col("a"), F.col("b"))).alias("m"))
     how = alike.groupBy("case_id", "m").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("~", "a", "b"))), ",").alias("s"))
     sub = check(how.where("m = 'subdivision'"), "DET_SURVEY_SUBDIVISION", "MEDIUM", "INFO", F.col("s"), none)
     fuzzy = check(how.where("m = 'ocr_fuzzy'"), "DET_SURVEY_OCR_FUZZY", "HIGH", "WARNING", F.col("s"), none)
@@ -243,6 +250,17 @@ def financial_scale(t: CaseTables, as_of: str) -> DataFrame:
     return union(jump, exceeds, check(active, "DET_ACTIVE_MORTGAGE_BURDEN", "HIGH", "WARNING", F.format_string("%.0f unreleased against %.0f", "amount", "sale")))
 
 
+@rule
+def sro_jurisdiction(t: CaseTables, as_of: str) -> DataFrame:
+    """The first stated office against the first stated district; unsure ones are silent."""
+    first = lambda rows, c: rows.where(F.trim(F.coalesce(c, F.lit(""))) != "").groupBy("case_id").agg(F.min_by(F.struct(c.alias("v"), F.col("filename")), "doc_ord").alias("x"))
+    office = first(t.deeds, F.col("sro")).select("case_id", F.col("x.v").alias("sro"), "x.filename")
+    district = first(t.places, F.col("district")).select("case_id", F.col("x.v").alias("district"))
+    village = first(t.places, F.col("village")).select("case_id", F.col("x.v").alias("village"))
+    met = office.join(district, "case_id").join(village, "case_id", "left").withColumn("j", jurisdiction(F.col("sro"), F.col("district"), F.col("village"))).where("j.confidence <> 'low'")
+    return check(met, "DET_SRO_JURISDICTION", "CRITICAL", F.when(F.col("j.valid"), "PASS").otherwise("FAIL"), F.concat_ws(" / ", "sro", "district", "j.mapped"))
+
+
 @rule
 def multi_village(t: CaseTables, as_of: str) -> DataFrame:
     """Places that don't match the first stated one, by district, taluk and village."""
@@ -281,7 +299,7 @@ def field_formats(t: CaseTables, as_of: str) -> DataFrame:
 def garbled_tamil(t: CaseTables, as_of: str) -> DataFrame:
     """Text values of any record, of four characters or more, whose Tamil is damaged."""
     values = F.regexp_extract_all(F.regexp_replace("data", r'"_[A-Za-z_]+"\s*:\s*("[^"]*"|\[[^\]]*\]|\{[^}]*\})', ""), F.lit(r'[:\[,]\s*"([^"]{4,})"'), F.lit(1))
-    each = t.documents.select("case_id", "filename", F.explode(values).alias("v")).where(garbled(F.col("v"))["is_garbled"])
+    each = t.documents.select("case_id", "filename", F.explode(F.transform(values, lambda v: F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), 0))).alias("v")).where(garbled(F.col("v"))["is_garbled"])
     return check(each.groupBy("case_id", "filename").agg(F.count("*").alias("n"), F.min("v").alias("v")), "DET_GARBLED_TAMIL", "HIGH", "WARNING", F.format_string("%d values, like %s", "n", "v"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,55 +35,65 @@ class CaseTables:
     """documents(case_id, doc_ord, filename, document_type, data) and what follows from it."""
 
     documents: DataFrame
+    #: Parsed tables are read by many rules: keep them, in memory or on disk.
+    keep: bool = True
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        return rows.persist(StorageLevel.MEMORY_AND_DISK) if self.keep else rows
+
+    def release(self) -> None:
+        for name, value in vars(self).items():
+            if isinstance(value, DataFrame) and name != "documents":
+                value.unpersist()
 
     def _of(self, kind: str, layout: str) -> DataFrame:
         rows = self.documents.where(F.col("document_type") == kind)
-        return rows.select("case_id", "doc_ord", "filename", F.from_json(F.coalesce("data", F.lit("{}")), layout).alias("d"))
+        # a generator's output is read as columns: a projection would repeat the parsing in every use
+        return rows.select("case_id", "doc_ord", "filename", F.inline(F.array(F.from_json(F.coalesce("data", F.lit("{}")), layout))))
 
     @cached_property
     def ec(self) -> DataFrame:
-        d = self._of("EC", EC)
-        return d.select("case_id", "doc_ord", "filename", "d.*").withColumns({"start": parse_date(F.col("period_from")), "end": parse_date(F.col("period_to"))})
+        return self._kept(self._of("EC", EC).withColumns({"start": parse_date(F.col("period_from")), "end": parse_date(F.col("period_to"))}))
 
     @cached_property
     def transactions(self) -> DataFrame:
         each = self.ec.select("case_id", "doc_ord", "filename", "start", "end", F.posexplode("transactions").alias("pos", "t")).select("case_id", "doc_ord", "filename", "start", "end", "pos", "t.*")
         kind = F.lower(F.trim(F.coalesce("transaction_type", F.lit(""))))
-        return each.withColumns({"day": parse_date(F.col("date")), "amount": parse_amount(F.col("consideration_amount")), "kind": kind, "tier": risk_tier(F.col("transaction_type"))})
+        return self._kept(each.withColumns({"day": parse_date(F.col("date")), "amount": parse_amount(F.col("consideration_amount")), "kind": kind, "tier": risk_tier(F.col("transaction_type"))}))
 
     @cached_property
     def deeds(self) -> DataFrame:
-        d = self._of("SALE_DEED", DEED).select("case_id", "doc_ord", "filename", "d.*")
+        d = self._of("SALE_DEED", DEED)
         money = {k: parse_amount(F.col(f"financials.{k}")) for k in ("consideration_amount", "guideline_value", "stamp_duty", "registration_fee")}
-        return d.withColumns({"day": F.coalesce(parse_date(F.col("registration_date")), parse_date(F.col("execution_date"))), "sqft": parse_area(F.col("property.extent")), **money})
+        return self._kept(d.withColumns({"day": F.coalesce(parse_date(F.col("registration_date")), parse_date(F.col("execution_date"))), "sqft": parse_area(F.col("property.extent")), **money}))
 
     @cached_property
     def parties(self) -> DataFrame:
         """Sellers and buyers of deeds."""
         both = [self.deeds.select("case_id", "doc_ord", "filename", F.lit(role).alias("role"), F.posexplode(role).alias("pos", "p")).select("case_id", "doc_ord", "filename", "role", "pos", "p.*") for role in ("seller", "buyer")]
-        return both[0].unionByName(both[1])
+        return self._kept(both[0].unionByName(both[1]))
 
     @cached_property
     def pattas(self) -> DataFrame:
-        return self._of("PATTA", PATTA).select("case_id", "doc_ord", "filename", "d.*").withColumn("sqft", parse_area(F.col("total_extent")))
+        return self._kept(self._of("PATTA", PATTA).withColumn("sqft", parse_area(F.col("total_extent"))))
 
     @cached_property
     def patta_owners(self) -> DataFrame:
-        return self.pattas.select("case_id", "doc_ord", "filename", F.posexplode("owner_names").alias("pos", "o")).select("case_id", "doc_ord", "filename", "pos", "o.name")
+        return self._kept(self.pattas.select("case_id", "doc_ord", "filename", F.posexplode("owner_names").alias("pos", "o")).select("case_id", "doc_ord", "filename", "pos", "o.name"))
 
     @cached_property
     def patta_surveys(self) -> DataFrame:
-        return self.pattas.select("case_id", "doc_ord", "filename", F.posexplode("survey_numbers").alias("pos", "s")).select("case_id", "doc_ord", "filename", "pos", "s.*").withColumn("sqft", parse_area(F.col("extent")))
+        return self._kept(self.pattas.select("case_id", "doc_ord", "filename", F.posexplode("survey_numbers").alias("pos", "s")).select("case_id", "doc_ord", "filename", "pos", "s.*").withColumn("sqft", parse_area(F.col("extent"))))
 
     @cached_property
     def fmb(self) -> DataFrame:
-        return self._of("FMB", FMB).select("case_id", "doc_ord", "filename", "d.*")
+        return self._kept(self._of("FMB", FMB))
 
     @cached_property
     def boundaries(self) -> DataFrame:
         """Boundaries of deeds by direction; text or structure, read as a structure where it is one."""
         as_map = F.from_json(F.col("property.boundaries"), "map<string,string>")
-        return self.deeds.select("case_id", "filename", F.explode(as_map).alias("direction", "boundary")).withColumn("direction", F.lower("direction"))
+        return self._kept(self.deeds.select("case_id", "filename", F.explode(as_map).alias("direction", "boundary")).withColumn("direction", F.lower("direction")))
 
     @cached_property
     def places(self) -> DataFrame:
@@ -96,7 +107,7 @@ class CaseTables:
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out
+        return self._kept(out)
 
     @cached_property
     def surveys(self) -> DataFrame:
@@ -113,4 +124,4 @@ class CaseTables:
         for rows, kind, c in lists:
             own = rows.select("case_id", "doc_ord", "filename", F.lit(kind).alias("document_type"), F.explode(split_surveys(c)).alias("survey"))
             out = own if out is None else out.unionByName(own)
-        return out.where(F.trim("survey") != "")
+        return self._kept(out.where(F.trim("survey") != ""))
