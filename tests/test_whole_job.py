@@ -1,5 +1,8 @@
 """Queries that do more than their SQL states, against brute force on small tables."""
 
+from pyspark.sql import functions as F
+
+from titleforge.operators import retrieval
 from titleforge.plans.driver_queries import QUERIES
 
 
@@ -12,3 +15,15 @@ def test_gt_verdict_looks_for_whole_passages(spark, tmp_path):
     want = {(i, sum(t in d for d in texts if d)) for i, t in passages if t}
     got = {tuple(r) for r in QUERIES["gt_verdict"](spark, str(tmp_path)).collect()}
     assert got == {w for w in want if w[1]} and {w[0] for w in got} == {3, 41, 50}
+
+
+def test_keyword_score_takes_every_passage(spark, tmp_path):
+    passages = [(1, "Survey 311/1 of the Owner"), (7, "ten men; AB-12 x"), (205, "வீடுகளின் owner"), (206, "? !"), (207, None)]
+    texts = ["the OWNER often mentions survey\u00a0311/12", "(ab-12)", "வீடு", None, "", "the owner " * 300, "the owner"]
+    spark.createDataFrame(passages, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i or None, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("item_id", retrieval.keywords(F.col("text")).alias("kw"))
+    pairs = asked.crossJoin(spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("text", "t"))
+    want = pairs.select("item_id", "doc_id", F.round(retrieval.keyword_score(F.col("kw"), F.col("t")), 6).alias("score")).collect()
+    got = QUERIES["keyword_score"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 35 and len({r.score for r in got}) == 4
