@@ -27,3 +27,10 @@ def test_keyword_score_takes_every_passage(spark, tmp_path):
     want = pairs.select("item_id", "doc_id", F.round(retrieval.keyword_score(F.col("kw"), F.col("t")), 6).alias("score")).collect()
     got = QUERIES["keyword_score"](spark, str(tmp_path)).collect()
     assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 35 and len({r.score for r in got}) == 4
+
+
+def test_amounts_are_read_whole(spark, tmp_path):
+    texts = {"paid 45000 and 12": 45000.0, "Rs 1,23,456.75 of 999": 123456.75, "1,234,567 or 1234568": 1234568.0, "items 1,2,3": 3.0, "3.14159": 3.14159, "on 1,23,4567": 4567.0, "AB1234 only": None, "": None, "12, 500": 500.0, "card 4111111111111111.": 4111111111111111.0}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.largest for r in QUERIES["amount_extract_max"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(texts.values()))

@@ -841,11 +841,16 @@ def pan_like_extract(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(found)), ",").alias("ids"))
 
 
+#: A number with digit groups (Indian or western), or plain; with decimals or without.
+_AMOUNT = r"\b(?:[0-9]{1,3}(?:,[0-9]{2,3})*,[0-9]{3}|[0-9]+)(?:\.[0-9]+)?\b"
+
+
 @query(r"""
 SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '\b[0-9]{1,3}(?:\.[0-9]{1,3})?\b'), lambda x: TRY_CAST(x AS DOUBLE))) AS largest FROM documents
 """)
 def amount_extract_max(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,3}(?:\.[0-9]{1,3})?\b"), F.lit(0))
+    """Whole numbers of any length, digit groups included; the SQL sees three digits at most."""
+    found = F.regexp_extract_all("text", F.lit(_AMOUNT), F.lit(0))
     return load(spark, sf, "documents").select("doc_id", F.array_max(F.transform(found, lambda x: parse_amount(x))).alias("largest"))
 
 
