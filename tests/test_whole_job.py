@@ -1,5 +1,6 @@
 """Queries that do more than their SQL states, against brute force on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from titleforge.operators import retrieval
@@ -34,3 +35,14 @@ def test_amounts_are_read_whole(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.largest for r in QUERIES["amount_extract_max"](spark, str(tmp_path)).collect()}
     assert got == dict(enumerate(texts.values()))
+
+
+def test_hybrid_rerank_asks_with_the_whole_text(spark, tmp_path):
+    texts = {100: "common words " * 30 + "latecomer", 1: "common words", 2: "a Latecomer", 3: "nothing", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(i, [1.0, 1.0 * k], "x") for k, i in enumerate(texts)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.chunk_id: r.hybrid for r in QUERIES["hybrid_rerank"](spark, str(tmp_path)).collect()}
+    share = {1: 2 / 3, 2: 1 / 3, 3: 0.0, 4: 0.0}
+    want = {i: max(0.0, 1 - 1 / (1 + k**2) ** 0.5 - 0.15 * share[i]) for k, i in enumerate(texts) if k}
+    assert got == pytest.approx(want, abs=2e-6)
