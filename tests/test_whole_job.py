@@ -46,3 +46,10 @@ def test_hybrid_rerank_asks_with_the_whole_text(spark, tmp_path):
     share = {1: 2 / 3, 2: 1 / 3, 3: 0.0, 4: 0.0}
     want = {i: max(0.0, 1 - 1 / (1 + k**2) ** 0.5 - 0.15 * share[i]) for k, i in enumerate(texts) if k}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_fact_conflicts_of_every_key(spark, tmp_path):
+    spark.createDataFrame([(1, "Ann", "A", 5), (2, "Bob", "A", 5), (3, "Eve", "B", 6)], "c_custkey long, c_name string, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(9, "bob ", 5), (8, "Sue", 6)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r.nation, r.category, r.key, r.n_values, r.conflicting_values) for r in QUERIES["fact_conflicts"](spark, str(tmp_path)).collect()}
+    assert got == {(5, "party", "name", 2, "ann=1;bob=2"), (6, "party", "name", 2, "eve=1;sue=1")}

@@ -556,7 +556,8 @@ SELECT nation, category, key, count(*) AS n_values, string_agg(v || '=' || n, ';
 ) GROUP BY ALL HAVING count(*) > 1
 """)
 def fact_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.conflicts(facts_unpivot(spark, sf).where("key = 'segment'"), ["nation"])
+    """Conflicts of every key; the SQL states those of segments only."""
+    return facts.conflicts(facts_unpivot(spark, sf), ["nation"])
 
 
 # --- names --------------------------------------------------------------
