@@ -1,8 +1,11 @@
 """Queries that do more than their SQL states, against brute force on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from titleforge.llm import toxicity
 from titleforge.operators import retrieval
 from titleforge.plans.driver_queries import QUERIES
 
@@ -53,3 +56,13 @@ def test_fact_conflicts_of_every_key(spark, tmp_path):
     spark.createDataFrame([(9, "bob ", 5), (8, "Sue", 6)], "s_suppkey long, s_name string, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
     got = {(r.nation, r.category, r.key, r.n_values, r.conflicting_values) for r in QUERIES["fact_conflicts"](spark, str(tmp_path)).collect()}
     assert got == {(5, "party", "name", 2, "ann=1;bob=2"), (6, "party", "name", 2, "eve=1;sue=1")}
+
+
+def test_only_checked_copies_of_the_same_label_go(spark):
+    rng = random.Random(1)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    passage, a, b = text(200), text(300), text(300)
+    rows = [(1, a, 0), (2, a + " end", 0), (3, a + " vile end", 1), (4, a, 1), (5, passage + " " + text(60), 0), (6, passage + " " + text(60), 1), (7, passage + " " + text(60), 0), (8, b, 1), (9, b, 1), (10, "", 0), (11, None, 0), (12, "", 1)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, _label int")
+    left = {r.doc_id for r in toxicity.distinct_documents(sample).collect()}
+    assert left == {1, 3, 5, 6, 7, 8, 10, 12}

@@ -21,6 +21,7 @@ Cases:
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -28,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, held_out, labelled_sample, materialize, release
@@ -55,8 +56,12 @@ P_VALUE = 0.05
 #: ``predicted`` is 1 from this score on.
 CUT = 0.7
 
+#: Words of a shingle, and the Jaccard similarity of copies in the training sample.
+SHINGLE, SIMILAR = 5, 0.8
+#: Bands of four minhashes each: at the similarity of copies, one agrees in all but 3 of 100,000 pairs.
+BANDS = 20
 #: Odd multipliers: seeds of the minhashes.
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_ODD = np.random.default_rng(8).integers(0, 1 << 63, 4 * BANDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -185,27 +190,49 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
     return odds, odds / np.sqrt(1 / y1 + 1 / y0)
 
 
-def sketch(text: str | None) -> list[int]:
-    """Three minhashes over shingles of four words, one for each of three seeds."""
+def shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``SHINGLE`` words; a shorter text is one run."""
     words = tokens(text or "")
-    grams = {" ".join(words[i : i + 4]).encode() for i in range(max(1, len(words) - 3))}
-    hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
-    return [int((hashes * np.uint64(m)).min().astype(np.int64)) for m in _ODD]
+    grams = {" ".join(words[i : i + SHINGLE]).encode() for i in range(max(1, len(words) - SHINGLE + 1))}
+    return np.unique(np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One key for each band of minhashes; sets that are alike agree in one at least."""
+    least = (hashes[:, None] * _ODD).min(0).reshape(BANDS, -1)
+    return [int(np.uint64(xxhash.xxh64_intdigest(row.tobytes())).astype(np.int64)) for row in least]
 
 
 def distinct_documents(sample: DataFrame) -> DataFrame:
-    """Without near copies: else all words of a toxic text with copies look toxic."""
+    """Without near copies: else all words of a toxic text with copies look toxic.
+
+    A document goes only if one of its own label, with a smaller id, has the same
+    shingles or a Jaccard similarity of ``SIMILAR`` at least. Bands of minhashes
+    propose pairs: each document with the first and the one before it of its key.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sketch(t) for t in batch.column("text").to_pylist()]
-        cols = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_s0", "_s1", "_s2"])
-
-    out = arrow_map(sample, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sample.schema) + ", _s0 long, _s1 long, _s2 long")
-    for k in range(3):
-        first = out.groupBy(f"_s{k}").agg(F.min_by(F.struct(*out.columns), F.struct("_label", "doc_id")).alias("_row"))
-        out = first.select("_row.*")
-    return out.select(*sample.columns)
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        cols = [
+            pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
+            pa.array([bands(x) for x in found], pa.list_(pa.int64())),
+            pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in found], pa.string()),
+        ]
+        return pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, "_set", "_bands", "_digest"])
+
+    numbered = sample.withColumn("_row", F.monotonically_increasing_id())
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema)
+    rows = materialize(arrow_map(numbered, run, schema + ", _set array<long>, _bands array<long>, _digest string"), "toxic-shingles")
+    once = rows.groupBy("_label", "_digest").agg(F.min(F.struct("doc_id", "_row")).alias("_m")).select("_m._row")
+    keys = rows.join(once, "_row", "left_semi").select("_label", "doc_id", "_row", F.posexplode("_bands").alias("_band", "_key"))
+    w = Window.partitionBy("_label", "_band", "_key").orderBy("doc_id", "_row")
+    beside = keys.select("_row", F.array(F.first("_row").over(w), F.lag("_row").over(w)).alias("_others"))
+    pairs = beside.select("_row", F.explode("_others").alias("_other")).where("_other <> _row").distinct()
+    sets = rows.select("_row", "_set")
+    met = pairs.join(sets, "_row").join(sets.toDF("_other", "_other_set"), "_other")
+    shared = F.size(F.array_intersect("_set", "_other_set"))
+    copies = met.where(shared / (F.size("_set") + F.size("_other_set") - shared) >= SIMILAR).select("_row").distinct()
+    return rows.join(once, "_row", "left_semi").join(copies, "_row", "left_anti").select(*sample.columns)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int = 3, rest: int = 1, limit: int = SAMPLE) -> Model:
