@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from titleforge.llm import toxicity
+from titleforge.llm import secret_scan, toxicity
 from titleforge.operators import retrieval
 from titleforge.plans.driver_queries import QUERIES
 
@@ -66,3 +66,14 @@ def test_only_checked_copies_of_the_same_label_go(spark):
     sample = spark.createDataFrame(rows, "doc_id long, text string, _label int")
     left = {r.doc_id for r in toxicity.distinct_documents(sample).collect()}
     assert left == {1, 3, 5, 6, 7, 8, 10, 12}
+
+
+def test_secret_parts_link_by_the_gap_between_them(spark):
+    rng, weak, texts = random.Random(2), "AKIA" + "Q" * 12, []
+    for _ in range(60):
+        strong, gap = "secret=" + "x" * rng.choice([12, 150, 193, 300, 1500]), rng.choice([1, 50, 199, 200, 201, 202, 350])
+        parts = [strong, weak] if rng.random() < 0.5 else [weak, strong]
+        texts.append(((" " * gap).join(["." * rng.randrange(400) + " " + parts[0], parts[1]]), gap <= 200))
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: "weak_access" in r.spans for r in secret_scan.scan_report(df).collect()}
+    assert got == {i: near for i, (_, near) in enumerate(texts)}

@@ -4,10 +4,11 @@ Parts are found by patterns: strong ones (the base) are always reported; weak
 ones, which alone mean little, only where the complementary parts of a
 credential stand within ``SCOPE`` code points: a weak secret near an access
 identifier, a weak identifier near a secret, an endpoint near both. The
-nearness is an interval join: positions are cut into buckets of the scope's
-width, the parts of a role in a bucket are reduced to their first and last
-start, and each part meets its own bucket and the two beside it, so that the
-join's size is proportional to the parts, however many a document has.
+nearness is the gap from a part's end to the next one's start, by an interval
+join: positions are cut into buckets of the scope's width, the parts of a role
+that touch a bucket are reduced to their first start and last end, and each part
+meets the buckets that it touches and the two beside them, so that the join's
+size is proportional to the parts and their lengths.
 
 Cases:
 
@@ -87,14 +88,15 @@ def spans(rows: DataFrame) -> DataFrame:
     placed = each.withColumn("end", F.sum(F.col("_m.gap") + F.col("_m.n")).over(before)).where(F.col("_m.kind").isNotNull())
     role = F.create_map(*(F.lit(x) for kv in _ROLE.items() for x in kv))
     placed = placed.select("_scan_row", F.col("_m.kind").alias("kind"), (F.col("end") - F.col("_m.n")).cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    placed = materialize(placed.withColumn("_role", role[F.col("kind")]).withColumn("_b", F.floor(F.col("start") / SCOPE)), "secret-parts")
-    ends = placed.groupBy("_scan_row", "_b", "_role").agg(F.min("start").alias("_first"), F.max("start").alias("_last"))
+    placed = materialize(placed.withColumn("_role", role[F.col("kind")]), "secret-parts")
+    low, high = F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)
+    covered = placed.withColumn("_b", F.explode(F.sequence(low, high)))
+    ends = covered.groupBy("_scan_row", "_b", "_role").agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
     weak = placed.where(~F.col("kind").isin(*KINDS[:3]))
     near = (
-        weak.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-        .withColumn("_at", F.col("_b") + F.col("_d"))
+        weak.withColumn("_at", F.explode(F.sequence(low - 1, high + 1)))
         .join(ends.withColumnsRenamed({"_b": "_at", "_role": "_other"}), ["_scan_row", "_at"])
-        .withColumn("_near", F.when(F.col("_d") == 0, F.lit(True)).when(F.col("_d") < 0, F.col("start") - F.col("_last") <= SCOPE).otherwise(F.col("_first") - F.col("start") <= SCOPE))
+        .withColumn("_near", F.when(F.col("_at") < low, F.col("start") - F.col("_last") <= SCOPE).when(F.col("_at") > high, F.col("_first") - F.col("end") <= SCOPE).otherwise(F.lit(True)))
         .groupBy("_scan_row", "kind", "start", "end", "_role")
         .agg(*(F.max(F.col("_near") & (F.col("_other") == r)).alias(f"_by_{r}") for r in ("id", "secret")))
     )
