@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from titleforge.llm import secret_scan, toxicity
+from titleforge.llm import quality_classifier, secret_scan, toxicity
 from titleforge.operators import retrieval
 from titleforge.plans.driver_queries import QUERIES
 
@@ -77,3 +77,12 @@ def test_secret_parts_link_by_the_gap_between_them(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: "weak_access" in r.spans for r in secret_scan.scan_report(df).collect()}
     assert got == {i: near for i, (_, near) in enumerate(texts)}
+
+
+@pytest.mark.parametrize("n", [1, 99, 100, 101, 200, 350])
+def test_distinct_words_are_measured_over_the_whole_text(n):
+    at = quality_classifier.FEATURES.index("distinct_words_window")
+    words = [f"w{i}" for i in range(n)]
+    assert quality_classifier.features(" ".join(words))[at] == 1.0
+    assert quality_classifier.features(" ".join(words + ["same"] * 300))[at] < 0.8
+    assert quality_classifier.features(" ".join(words + ["same"] * 300))[at] != quality_classifier.features(" ".join(words + ["same", "other"] * 150))[at]
