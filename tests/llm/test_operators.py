@@ -141,12 +141,28 @@ def test_repeated_passages(spark, monkeypatch, hot):
 def test_parse_in_pieces(monkeypatch):
     rng = random.Random(1)
     raw = bytes(rng.choice(b"abc") for _ in range(5000))
-    whole = substring_dedup.parse(raw)
+    whole = list(substring_dedup.parse(raw))
     monkeypatch.setattr(substring_dedup, "PIECE", 700)
-    windows = lambda phrases: sorted(w for _, _, lo, hi in phrases for w in range(lo, hi + 1))
+    windows = lambda runs: sorted(w for _, _, lo, hi in runs for w in range(lo, hi + 1))
     assert windows(whole) == windows(substring_dedup.parse(raw)) == list(range(len(raw) - substring_dedup.LENGTH + 1))
 
 
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", bytes(range(97, 123))])
+def test_corpus_order_finds_equal_windows(alphabet):
+    rng = random.Random(len(alphabet))
+    word = lambda n: bytes(rng.choice(alphabet) for _ in range(n))
+    core = word(350)
+    parts = [word(rng.randint(1, 90)) + core + word(rng.randint(60, 90)) for _ in range(12)]
+    parts += [parts[0][5:], parts[1][:-3], parts[2][20:] + parts[3], word(399), word(400), parts[0]]
+    seen = {}
+    for i, t in enumerate(parts):
+        for p in range(len(t) - 399):
+            seen.setdefault(t[p : p + 400], []).append((i, p))
+    want = {x for places in seen.values() if len(places) > 1 for x in places}
+    part, place = substring_dedup.ordered_repeats(parts)
+    assert set(zip(part.tolist(), place.tolist())) == want and len(part) == len(want)
+
+
 # op4
 
 

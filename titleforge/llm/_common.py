@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: White space that separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Keys that are broadcast for their many rows, at most.
+FREQUENT = 1_000
+
 _OWN_DIR: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -54,11 +57,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    path = df._titleforge_path
-    _delete(df.sparkSession, path)
-    _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+def release(*dfs: DataFrame) -> None:
+    """Delete tables of :func:`materialize` that nothing reads any more."""
+    for df in dfs:
+        path = df._titleforge_path
+        _delete(df.sparkSession, path)
+        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with distinct ``keys`` that doesn't gather frequent keys.
+
+    ``weight``: how many rows a key has; ``total``: a bound on their sum. A key with a
+    share of 1/``FREQUENT`` or more is broadcast; there are at most that many.
+    """
+    often = F.col(weight) >= max(FREQUENT, total // FREQUENT)
+    few = F.broadcast(keys.where(often))
+    return rows.join(few, on).unionByName(rows.join(few.select(on), on, "left_anti").join(keys.where(~often), on))
 
 
 @atexit.register
@@ -105,7 +120,3 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             yield fn(batch)
 
     return df.mapInArrow(run, schema)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()
