@@ -329,6 +329,26 @@ def test_merging_matches_merge():
     assert list(codec.segment(words)) == [codec.merge(w) for w in words]
 
 
+def test_production_merges_match_merge():
+    codec = sentencepiece_codec.Codec.load()
+    rng = random.Random(1)
+    syllables = ["in", "ter", "nat", "ion", "al", "é", "ß", "日本", "𝄞", "x", "ing", "the", "▁", "ü", "tt", "0", "42"]
+    words = sorted({"▁" + "".join(rng.choice(syllables) for _ in range(rng.randint(1, 9))) for _ in range(3000)} | {"▁" + "ab" * 2000, "x" * 3000})
+    short = [w for w in words if len(w) < 100]
+    assert list(codec.segment(short)) == [codec.merge(w) for w in short]
+    assert ["".join(p) for p in codec.segment(words)] == words
+
+
+def test_columns_match_texts():
+    import pyarrow as pa
+
+    codec = sentencepiece_codec.Codec.load()
+    texts = ["a b", "a  b", " a", "a ", "", None, "one\ntwo three\t four", "▁ x", "\n", "x" * 700 + " y", "same same same"]
+    for part in (texts, texts[2:], texts[:1], [None], []):
+        got = codec.encode_column(pa.array(part, pa.string())).to_pylist()
+        assert got == [x.tolist() for x in codec.encode(part)]
+
+
 def test_library_agrees(spark, docs):
     library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
     texts = ["", " ", "a  b\n\n c\t", "naïve 日本語 𝄞 \u0000", "x" * 500, "The quick brown fox. Internationalization!", "\n a"]

@@ -13,8 +13,10 @@ says how the best segmentation of the prefix ends:
   state before it. A plain Viterbi over BPE scores, which are merge ranks, would
   give other pieces than merging does.
 
-Encoded words are kept from batch to batch, up to ``KEPT`` words. Nothing is
-shuffled, and memory is bounded by a batch and the kept words.
+Which pieces may end at a place is read off an automaton over the pieces (Aho and
+Corasick), whose state is part of the forward state. Encoded words are kept from
+batch to batch, up to ``KEPT`` words and as many older ones. Nothing is shuffled,
+and memory is bounded by a batch and the kept words.
 
 Cases:
 
@@ -34,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 MARK = "▁"
@@ -41,6 +44,8 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Encoded words, and results of merging pairs, kept by a worker at most.
 KEPT = 200_000
+#: Bytes of text that are encoded at once: words sort better the more there are.
+TEXT = 4 << 20
 #: What a character without a piece costs below the worst piece (a fixed value of the format).
 UNKNOWN_PENALTY = 10.0
 
@@ -48,6 +53,7 @@ UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 NO_PAIR = float("-inf")
+EVERYTHING = r"(?s).+"
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -86,9 +92,12 @@ class Codec:
     model: int = BPE
     dummy_prefix: bool = True
     _kept: dict[str, bytes] = field(default_factory=dict, repr=False)
-    _merged: dict[str, dict[str, bool]] = field(default_factory=dict, repr=False)
-    _n_merged: int = 0
-    _coded: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _older: dict[str, bytes] = field(default_factory=dict, repr=False)
+    _follows: dict[int, dict[int, bool]] = field(default_factory=dict, repr=False)
+    _n_follows: int = 0
+    _n_learned: int = 0
+    _code: dict[int, bytes] = field(default_factory=dict, repr=False)
+    _history: dict[int, tuple] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         usable = [i for i, k in enumerate(self.kinds) if k in (NORMAL, USER_DEFINED)]
@@ -97,18 +106,12 @@ class Codec:
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, k in enumerate(self.kinds) if k == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.longest = max(map(len, self.ids), default=1)
-        # by their last three characters, how long pieces can be; shorter ones are always tried
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                ends.setdefault(p[-3:], {1, 2}).add(len(p))
-        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in ends.items()}
         self.unknown_score = min(self.score_of.values(), default=0.0) - UNKNOWN_PENALTY
         long = [p for p in self.ids if len(p) > 1]
         inside = {c for p in long for c in p}
         alone = "".join(c for c in "\n\r\t" if c not in inside)  # no merge passes these
         if any(MARK in p.lstrip(MARK) for p in long):
-            self.words = re.compile(r"(?s).+")  # pieces span words here
+            self.words = re.compile(EVERYTHING)  # pieces span words here
         else:
             self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + f"|[{alone}]" * bool(alone))
         self.values = [self._value(i) for i in range(len(self.pieces))]
@@ -161,53 +164,148 @@ class Codec:
                 pairs[i] = score(parts[i] + parts[i + 1], NO_PAIR)
         return parts
 
-    def _follow(self, left: str, right: str) -> bool:
-        """Whether merging the characters of two pieces gives the two pieces."""
-        self._n_merged += 1
-        if self._n_merged > 4 * KEPT:
-            self._merged.clear()
-            self._n_merged = 0
-        got = self.merge(left + right) == ([left, right] if left else [right])
-        self._merged.setdefault(left, {})[right] = got
+    # the automaton: states are numbers, 0 is the start
+
+    def _build(self) -> None:
+        """Prefixes of pieces as states, and the pieces that end in each, longest first."""
+        self._next: list[dict[str, int]] = [{}]
+        own, depth = [-1], [0]
+        for piece, i in self.ids.items():
+            at = 0
+            for c in piece:
+                to = self._next[at].get(c)
+                if to is None:
+                    to = self._next[at][c] = len(self._next)
+                    self._next.append({})
+                    own.append(-1)
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = i
+        self._fall = [0] * len(own)
+        self._ends: list[tuple[tuple, ...]] = [()] * len(own)  # length, piece, what may follow it, its ids
+        level = [(0, c, to) for c, to in self._next[0].items()]
+        while level:
+            deeper = []
+            for parent, c, at in level:
+                fall = self._fall[parent] if parent else 0
+                while fall and c not in self._next[fall]:
+                    fall = self._fall[fall]
+                self._fall[at] = self._next[fall].get(c, 0) if parent else 0
+                self._ends[at] = (((depth[at], own[at], *self._info(own[at])),) if own[at] >= 0 else ()) + self._ends[self._fall[at]]
+                deeper += [(at, x, to) for x, to in self._next[at].items()]
+            level = deeper
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after a character that doesn't go on from ``state``; remembered there while there is room."""
+        at = state
+        while at and c not in self._next[at]:
+            at = self._fall[at]
+        to = self._next[at].get(c, 0)
+        if self._n_learned < 5 * KEPT:
+            self._n_learned += 1
+            self._next[state][c] = to
+        return to
+
+    def _text(self, i: int) -> str:
+        return self.pieces[i] if 0 <= i < len(self.pieces) else "" if i < 0 else chr(i - len(self.pieces))
+
+    def _edges(self, piece: int) -> tuple[bool, str, str, list[tuple[float, str, str]]]:
+        """How a piece comes about: whether merging gives it, its first and last character, and
+        for each merge its score and the first and last symbol after it."""
+        known = self._history.get(piece)
+        if known is not None:
+            return known
+        text = self._text(piece)
+        parts, score, steps = list(text), self.score_of.get, []
+        while len(parts) > 1:
+            pairs = [score(a + b, NO_PAIR) for a, b in zip(parts, parts[1:])]
+            best = max(pairs)
+            if best == NO_PAIR:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            steps.append((best, parts[0], parts[-1]))
+        got = self._history[piece] = (len(parts) == 1, text[0], text[-1], steps)
         return got
 
-    # forward passes over sorted words
+    def _follow(self, left: int, right: int) -> bool:
+        """Whether merging the characters of two pieces (left: -1 for none) gives the two pieces.
+
+        Each side merges as it would alone, best pair first and of equal ones the leftmost,
+        until the symbols that meet would be a better pair.
+        """
+        self._n_follows += 1
+        if self._n_follows > 20 * KEPT:
+            for row in self._follows.values():  # a pass holds the rows themselves
+                row.clear()
+            self._n_follows = 0
+        whole, first, _, theirs = self._edges(right)
+        if left < 0:
+            got = whole
+        else:
+            own, _, last, ours = self._edges(left)
+            got, i, j, score = own and whole, 0, 0, self.score_of.get
+            while got:
+                a = ours[i][0] if i < len(ours) else NO_PAIR
+                b = theirs[j][0] if j < len(theirs) else NO_PAIR
+                here = score(last + first, NO_PAIR)
+                if here != NO_PAIR and here > a and here >= b:
+                    got = False
+                elif a == b == NO_PAIR:
+                    break
+                elif a >= b:
+                    last = ours[i][2]
+                    i += 1
+                else:
+                    first = theirs[j][1]
+                    j += 1
+        self._follows.setdefault(left, {})[right] = got
+        return got
 
-    def _bpe(self, words: list[str]) -> Iterator[list[str]]:
-        last: list[str] = [""]  # last[i]: the piece that ends the prefix of length i
+    def _info(self, piece: int) -> tuple[dict[int, bool], bytes]:
+        """Whether pieces may follow this one, as far as known, and its ids as bytes."""
+        row = self._follows.get(piece)
+        if row is None:
+            row = self._follows[piece] = {}
+        return row, self._code.get(piece) or self._id_bytes(piece)
+
+    # forward passes over sorted words: after each word, the state at each of its places (a live
+    # list): the piece that ends the prefix, its length, the prefix's ids as bytes, and more
+
+    def _bpe(self, words: list[str]) -> Iterator[list[tuple]]:
+        if not hasattr(self, "_next"):
+            self._build()
+        next_, ends, n_pieces = self._next, self._ends, len(self.pieces)
+        places: list[tuple] = [(-1, 0, b"", 0, self._follows.setdefault(-1, {}))]
         before = ""
-        ids, merged, none, ends, short = self.ids, self._merged, {}, self.ends, (2, 1)
         for word in words:
-            keep = _shared(before, word)
-            del last[keep + 1 :]
-            for i in range(keep + 1, len(word) + 1):
-                for n in ends.get(word[i - 3 : i], short) if i > 2 else short:
-                    if n > i:
-                        continue
-                    at = i - n
-                    piece = word[at:i]
-                    if n == 1 or piece in ids:
-                        ok = merged.get(last[at], none).get(piece)
-                        if ok is None:
-                            ok = self._follow(last[at], piece)
-                        if ok:
-                            last.append(piece)
-                            break
-                else:
-                    raise AssertionError(f"no segmentation of {word[:i]!r}")
+            i = _shared(before, word)
+            del places[i + 1 :]
+            state = places[i][3]
+            for c in word[i:]:
+                i += 1
+                to = next_[state].get(c)
+                state = self._step(state, c) if to is None else to
+                for n, piece, row, code in ends[state]:
+                    prior = places[i - n]
+                    ok = prior[4].get(piece)
+                    if ok is None:
+                        ok = self._follow(prior[0], piece)
+                    if ok:
+                        break
+                else:  # a character without a piece of its own
+                    n, piece, prior = 1, n_pieces + ord(c), places[i - 1]
+                    row, code = self._info(piece)
+                places.append((piece, n, prior[2] + code, state, row))
             before = word
-            out, i = [], len(word)
-            while i:
-                out.append(last[i])
-                i -= len(last[i])
-            yield out[::-1]
+            yield places
 
-    def _viterbi(self, words: list[str]) -> Iterator[list[str]]:
-        best, size = [0.0], [0]
+    def _viterbi(self, words: list[str]) -> Iterator[list[tuple]]:
+        places: list[tuple] = [(-1, 0, b"", 0.0)]
         before = ""
         for word in words:
             keep = _shared(before, word)
-            del best[keep + 1 :], size[keep + 1 :]
+            del places[keep + 1 :]
             for i in range(keep + 1, len(word) + 1):
                 options = []
                 for n in range(1, min(i, self.longest) + 1):
@@ -215,30 +313,33 @@ class Codec:
                     if s is None and n == 1:
                         s = self.unknown_score
                     if s is not None:
-                        options.append((best[i - n] + s, n))
+                        options.append((places[i - n][3] + s, n))
                 s, n = max(options)
-                best.append(s)
-                size.append(n)
+                piece = self.ids.get(word[i - n : i], len(self.pieces) + ord(word[i - 1]))
+                places.append((piece, n, places[i - n][2] + (self._code.get(piece) or self._id_bytes(piece)), s))
             before = word
-            out, i = [], len(word)
-            while i:
-                out.append(word[i - size[i] : i])
-                i -= size[i]
-            yield out[::-1]
+            yield places
+
+    def forward(self, words: list[str]) -> Iterator[list[tuple]]:
+        return self._bpe(words) if self.model == BPE else self._viterbi(words)
 
     def segment(self, words: list[str]) -> Iterator[list[str]]:
         """Pieces of each of the sorted ``words``."""
-        return self._bpe(words) if self.model == BPE else self._viterbi(words)
+        for places in self.forward(words):
+            out, i = [], len(places) - 1
+            while i:
+                out.append(self._text(places[i][0]))
+                i -= places[i][1]
+            yield out[::-1]
 
-    def _id_bytes(self, piece: str) -> bytes:
-        i = self.ids.get(piece)
-        if i is not None:
-            own = [i]
+    def _id_bytes(self, piece: int) -> bytes:
+        if piece < len(self.pieces):
+            own = [piece]
         elif self.byte_ids:
-            own = [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+            own = [self.byte_ids[b] for b in self._text(piece).encode("utf-8", "surrogatepass")]
         else:
             own = [self.unknown]
-        got = self._coded[piece] = np.array(own, np.int32).tobytes()
+        got = self._code[piece] = np.array(own, np.int32).tobytes()
         return got
 
     # texts
@@ -246,17 +347,59 @@ class Codec:
     def marked(self, text: str | None) -> str:
         return (MARK if self.dummy_prefix and text else "") + (text or "").replace(" ", MARK)
 
+    def _encode_words(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of distinct words as bytes; those not met lately go through a forward pass, sorted."""
+        kept, older = self._kept, self._older
+        if len(kept) > KEPT:  # what was used since stays at hand
+            older, kept = kept, {}
+            self._kept, self._older = kept, older
+        new = []
+        for word in words.difference(kept):
+            known = older.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                kept[word] = known
+        new.sort()
+        for word, places in zip(new, self.forward(new)):
+            kept[word] = places[-1][2]
+        return kept
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [self.words.findall(self.marked(t)) for t in texts]
-        kept, coded = self._kept, self._coded
-        if len(kept) > KEPT:
-            kept.clear()
-        new = sorted({w for words in cut for w in words if w not in kept})
-        for word, found in zip(new, self.segment(new)):
-            kept[word] = b"".join([coded.get(p) or self._id_bytes(p) for p in found])
+        kept = self._encode_words(set().union(*cut))
         return [np.frombuffer(b"".join(map(kept.__getitem__, words)), np.int32) for words in cut]
 
+    def encode_column(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text of a column.
+
+        Texts whose words stand between single spaces are cut by Arrow, and only their
+        distinct words come to Python; others (runs of spaces, marks) go one by one.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK))
+        odd = pc.or_(odd, pc.or_(pc.starts_with(texts, " "), pc.or_(pc.ends_with(texts, " "), pc.equal(texts, ""))))
+        if not self.dummy_prefix or self.words.pattern == EVERYTHING:
+            odd = pa.array(np.ones(len(texts), bool))
+        rest = self.encode(texts.filter(odd).to_pylist())
+        cut = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        found = cut.flatten().dictionary_encode()
+        several = pc.match_substring_regex(found.dictionary, "[\n\r\t]").to_numpy(zero_copy_only=False)
+        units = [MARK + t for t in found.dictionary.to_pylist()]
+        parts = {i: self.words.findall(units[i]) for i in np.flatnonzero(several).tolist()}
+        kept = self._encode_words({u for i, u in enumerate(units) if i not in parts}.union(*parts.values()))
+        coded = [b"".join(map(kept.__getitem__, parts[i])) if i in parts else kept[u] for i, u in enumerate(units)]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        of_unit = pa.LargeListArray.from_arrays(pa.array(_offsets(sizes)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+        ids = of_unit.take(found.indices).flatten()
+        per_text = np.diff(_offsets(sizes[found.indices.to_numpy()])[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+        plain = pa.LargeListArray.from_arrays(pa.array(_offsets(per_text)), ids)
+        other = pa.LargeListArray.from_arrays(pa.array(_offsets([len(x) for x in rest])), pa.array(np.concatenate([np.zeros(0, np.int32), *rest])))
+        mask = odd.to_numpy(zero_copy_only=False)
+        at = np.where(mask, len(plain) + np.cumsum(mask) - 1, np.cumsum(~mask) - 1)
+        return pa.concat_arrays([plain, other]).take(pa.array(at))
+
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.values.__getitem__, ids.tolist()))
         try:
@@ -280,22 +423,36 @@ def _shared(a: str, b: str) -> int:
     return low
 
 
-def encode_documents(docs: DataFrame, path: str = MODEL, batch_rows: int = 256) -> DataFrame:
+def _offsets(sizes: np.ndarray | list[int]) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(np.asarray(sizes, np.int64))])
+
+
+def slices(sizes: np.ndarray, most: int = TEXT) -> Iterator[tuple[int, int]]:
+    """Start and number of neighbouring rows that together stay under ``most``, one row at least."""
+    start = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and total + size > most:
+            yield start, i - start
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes) - start
+
+
+def encode_documents(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """doc_id, n_ids, ids, and whether decoding the ids gives the text again."""
     codec = Codec.load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, len(whole), batch_rows):
-                batch = whole.slice(at, batch_rows)
-                texts = batch.column("text").to_pylist()
-                ids = codec.encode(texts)
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                values = np.concatenate([np.zeros(0, np.int32), *ids])
-                same = [codec.decode(i) == (t or "") for i, t in zip(ids, texts)]
+            for at, n in slices(pc.binary_length(whole.column("text")).fill_null(0).to_numpy(zero_copy_only=False)):
+                batch = whole.slice(at, n)
+                texts = batch.column("text")
+                ids = codec.encode_column(texts)
+                values, ends = ids.flatten().to_numpy(), ids.offsets.to_numpy()
+                same = [codec.decode(values[a:b]) == (t.as_py() or "") for a, b, t in zip(ends, ends[1:], texts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32())), pa.array(same, pa.bool_())],
+                    [batch.column("doc_id"), pa.array(np.diff(ends)), ids.cast(pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                     ["doc_id", "n_ids", "ids", "exact"],
                 )
 
