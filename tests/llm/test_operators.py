@@ -185,6 +185,8 @@ def test_simhash_report(spark, docs):
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "5", "None"]
     assert simhash_dedup.dedup_report(spark.createDataFrame([], EMPTY)).count() == 0
+    odd = docs.withColumnsRenamed({"lang": "_simhash_fp", "source": "_SIMHASH_ROW"})
+    assert simhash_dedup.deduplicated(odd).columns == odd.columns and simhash_dedup.deduplicated(odd).count() == 4
 
 
 @pytest.mark.parametrize("leaves", [1, 5, 16])
@@ -250,6 +252,30 @@ def test_top_k(spark, monkeypatch):
     assert exact_topk.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("axes", [False, True])
+def test_threshold_stops_early_and_exactly(axes):
+    """Where few axes carry the products, most rows are never scored; ties go to the smaller id."""
+    rng = np.random.default_rng(11)
+    n, d, k = 4000, 24, 7
+    x = np.floor(64 * rng.normal(size=(n, d)) * 0.5 ** np.arange(d))
+    x[100:140] = x[0]
+    turn = np.linalg.qr(rng.normal(size=(d, d)))[0] if axes else np.eye(d)
+    x = np.floor(x @ turn)
+    ids = rng.permutation(n)
+    lists = exact_topk.Lists(ids, np.arange(n), x, exact_topk.principal_axes(x[:1000]) if axes else None)
+    shares = []
+    for row in range(0, n, 100):
+        scores = x @ x[row]
+        want = sorted(((-scores[i], ids[i]) for i in range(n) if i != row))[:k]
+        found, got, depth, scored = lists.search(row, x[row], k)
+        assert sorted((-s, i) for s, i in zip(got, ids[found])) == want and depth < n
+        floor = -want[-1][0]
+        found, got, _, again = lists.search(row, x[row], k, floor)
+        assert sorted((-s, i) for s, i in zip(got, ids[found])) == want and again <= scored
+        shares.append(scored / n)
+    assert np.mean(shares) < 0.5
+
+
 def test_near_duplicate_vectors(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "AIM", 12)
     monkeypatch.setattr(embedding_dedup, "LIST", 9)
@@ -298,6 +324,26 @@ def test_secrets(spark, docs):
     assert secret_scan.scan_report(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    pieces = ["password=weakpass1", "secret = abcdefghijklmnop", "AKIA" + "Q" * 12, "AKIA" + "Z" * 16, "0123abcd0123", "user: mani_7", "a.b@mail.example.com", "https://db.example.com:80/x", "10.20.30.40", "token=" + "x" * 300, "plain words "]
+    texts = ["".join(rng.choice(pieces) + rng.choice([" ", " " * 90, " word" * 30, " " * 230]) for _ in range(rng.randint(1, 12))) for _ in range(40)]
+    got = {r.doc_id: r.spans for r in secret_scan.scan_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assign, user, endpoint = (re.compile(p.removeprefix("(?i)"), re.I | re.A) for p in (secret_scan.ASSIGN, secret_scan.USER, secret_scan.ENDPOINT))
+    for i, t in enumerate(texts):
+        parts = [(m.start(), m.end(), "assign" if len(m[2]) >= 12 else "weak_assign") for m in assign.finditer(t) if len(m[2]) >= 8]
+        parts += [(m.start(), m.end(), "access" if len(m[0]) >= 18 else "weak_access") for m in re.finditer("AKIA[A-Z0-9]{12,}", t)]
+        parts += [(m.start(), m.end(), "hex" if len(m[0]) >= 16 else "weak_hex") for m in re.finditer("[0-9a-f]{12,}", t) if len(m[0]) >= 16 or (re.search("[0-9]", m[0]) and re.search("[a-f]", m[0]))]
+        parts += [(m.start(), m.end(), "user") for m in user.finditer(t)] + [(m.start(), m.end(), "endpoint") for m in endpoint.finditer(t)]
+        role = secret_scan._ROLE
+        beside = lambda p, r: any(role[k] == r and max(a - p[1], p[0] - b) <= secret_scan.SCOPE for a, b, k in parts)
+        needs = {"secret": ("id",), "id": ("secret",), "endpoint": ("id", "secret")}
+        told = [p for p in parts if p[2] in secret_scan.KINDS[:3] or all(beside(p, r) for r in needs[role[p[2]]])]
+        want = ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(told, key=lambda p: (p[0], secret_scan.KINDS.index(p[2]))))
+        assert got[i] == want, t
+
+
 # op7
 
 TOY = ["<unk>", "a", "b", "ab", "ba", "aab", "abab", "▁", "▁a", "▁ab", "c"]

@@ -25,11 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where the cluster names one. A temporary folder
-    only where none is named, as in tests on one machine.
+    only where none is named and all runs on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster has to name spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="titleforge-")
@@ -65,6 +67,19 @@ def release(*dfs: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+def written() -> set[str]:
+    """The tables of :func:`materialize` that are still there."""
+    return {path for _, path in _WRITTEN}
+
+
+def release_since(before: set[str], *keep: DataFrame) -> None:
+    """Delete what was written since, but for ``keep``."""
+    kept = before | {df._titleforge_path for df in keep}
+    for spark, path in [x for x in _WRITTEN if x[1] not in kept]:
+        _delete(spark, path)
+        _WRITTEN.remove((spark, path))
+
+
 def meet(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with distinct ``keys`` that doesn't gather frequent keys.
 
@@ -99,8 +114,8 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, rest: int, limit: int) -> DataFrame:
     """Up to ``limit`` documents with a label, by smallest hash of the id.
 
-    Held-out ids never appear. Ids with several labels use the smallest. The
-    sample has at most ``limit`` ids, so it can be broadcast.
+    Held-out ids never appear. Ids with several labels use the smallest, ids with
+    several texts the first in order: the sample has one row per id, ``limit`` at most.
     """
     picked = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", mod, rest))
@@ -109,7 +124,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, re
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names that ``taken`` doesn't have, whatever the case of letters."""
+    have = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

@@ -1,16 +1,25 @@
 """Exact top-k inner products by the threshold algorithm over sorted lists.
 
 Candidates are dealt to shards of bounded size, queries to blocks of bounded
-size; a task holds one shard and one block. A shard has, per dimension, the list
-of its rows in order of that component. A query reads all its lists (from the top
-where its own component is positive, from the bottom where it is negative) to
-growing depths, scores each row when first seen, and stops once the bound - the
-sum of what every list can still contribute - is below the k-th best score; at
-equality it reads on, as a tie goes to the smaller id. Each shard returns its k
-best per query; a window per query merges them.
+size; a task holds one shard and one block. All vectors are turned by one
+orthogonal matrix per length (principal axes of a bounded sample), which changes
+no product but lets a few lists carry most of it where the data allow that. A
+shard has, per axis, the list of its rows in order of that component. A query
+reads all its lists (from the top where its own component is positive, from the
+bottom where it is negative) to growing depths, scores each row when first seen,
+and stops once the bound - the sum of what every list can still contribute -
+can't beat the k-th best score; at equality it reads on, as a tie goes to the
+smaller id.
+
+1. Each query meets its own shard first: the k-th score there is its floor.
+2. The heads of a shard's lists bound what the shard can hold: a query goes only to
+   shards whose bound reaches its floor.
+3. There it stops as soon as the bound is below the floor or its own k-th score, and
+   returns what reaches the floor. A window per query merges the shards.
 
 Scores are integers: components become floor(scale * x). They are summed in
-doubles, which hold them exactly (under 2**53).
+doubles, which hold them exactly (under 2**53). Bounds are sums over turned
+vectors; ``SLACK`` stands for their rounding.
 
 Cases:
 
@@ -25,12 +34,15 @@ Cases:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import materialize, release
 
 K = 20
 SCALE = 64
@@ -40,54 +52,66 @@ EVERY = 20
 SHARD = 8_192
 QUERIES = 4_096
 #: Rows read from every list at first, and how much deeper each time.
-DEPTH, DEEPER = 16, 4
+DEPTH, DEEPER = 16, 1.5
+#: Vectors that the axes are fitted on, lengths that get own axes (others keep theirs).
+SAMPLE, LENGTHS = 4_096, 16
+#: Bytes of list heads up to which they go to every task; beyond, queries go to all shards.
+HEADS = 64 << 20
+#: What rounding may add to a bound.
+SLACK = 1e-3
 
 
 def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
-def threshold_top_k(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, queries: list[tuple[int, np.ndarray]], k: int) -> list[tuple[int, int, int, int]]:
-    """(query row, row, id, score) of each query's k best among ``x``, its own row left out."""
-    n, d = x.shape
-    order = np.argsort(x, axis=0, kind="stable")
-    values = np.take_along_axis(x, order, 0)
-    where = {int(r): i for i, r in enumerate(rows)}
-    out = []
-    for row, q in queries:
-        pos, neg = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        lists = len(pos) + len(neg)
-        own = where.get(row, -1)
+class Lists:
+    """A shard's rows, and the order of each axis."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, axes: np.ndarray | None) -> None:
+        self.ids, self.rows, self.x, self.axes = ids, rows, x, axes
+        turned = x if axes is None else x @ axes
+        self.order = np.argsort(turned, axis=0, kind="stable")
+        self.values = np.take_along_axis(turned, self.order, 0)
+        self.where = {int(r): i for i, r in enumerate(rows)}
+
+    def search(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """Places and scores of a query's best ``k`` that reach the floor, its own row left out;
+        how deep the lists were read, and how many rows were scored."""
+        n = len(self.x)
+        turned = q if self.axes is None else q @ self.axes
+        pos, neg = np.flatnonzero(turned > 0), np.flatnonzero(turned < 0)
         seen = np.zeros(n, bool)
+        own = self.where.get(row, -1)
         if own >= 0:
             seen[own] = True
         found, scores = np.zeros(0, np.int64), np.zeros(0)
-        depth = 0
+        depth, scored = 0, 0
         while depth < n:
-            to = min(n, max(DEPTH, depth * DEEPER))
-            unseen = n - np.count_nonzero(seen)
-            if unseen <= (to - depth) * lists // 4 or not lists:
-                # fewer rows are left than the next entries of all lists: score them instead
-                fresh, to = np.flatnonzero(~seen), n
-            else:
-                before = seen.copy()
-                seen[order[n - to : n - depth, pos]] = True
-                seen[order[depth:to, neg]] = True
-                fresh = np.flatnonzero(seen & ~before)
-            found = np.concatenate([found, fresh])
+            best = max(floor, scores.min() if len(found) >= k else -np.inf)
+            bound = turned[pos] @ self.values[n - 1 - depth, pos] + turned[neg] @ self.values[depth, neg]
+            if bound + SLACK < best:
+                break
+            to = min(n, max(DEPTH, int(depth * DEEPER)))
+            before = seen.copy()
+            if len(pos) + len(neg):
+                seen[self.order[n - to : n - depth, pos]] = True
+                seen[self.order[depth:to, neg]] = True
+            else:  # a query of zeros has no lists; all rows score 0
+                seen[:], to = True, n
+            if to == n:
+                seen[:] = True
+            fresh = np.flatnonzero(seen & ~before)
+            scored += len(fresh)
             # many rows: a product over all needs no copy of theirs
-            own_scores = (x @ q)[fresh] if 4 * len(fresh) > n else x[fresh] @ q
-            scores = np.concatenate([scores, own_scores])
+            new = (self.x @ q)[fresh] if 4 * len(fresh) > n else self.x[fresh] @ q
+            good = new >= floor
+            found, scores = np.concatenate([found, fresh[good]]), np.concatenate([scores, new[good]])
             if len(found) > k:
-                best = _best(ids, found, scores, k)
-                found, scores = found[best], scores[best]
+                kept = _best(self.ids, found, scores, k)
+                found, scores = found[kept], scores[kept]
             depth = to
-            if depth < n and len(found) >= k:
-                bound = q[pos] @ values[n - 1 - depth, pos] + q[neg] @ values[depth, neg]
-                if bound < scores.min():
-                    break
-        out += [(row, int(rows[i]), int(ids[i]), int(s)) for i, s in zip(found, scores)]
-    return out
+        return found, scores, depth, scored
 
 
 def _best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -96,33 +120,97 @@ def _best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.
     return some[np.lexsort((ids[found[some]], -scores[some]))[:k]]
 
 
+def principal_axes(sample: np.ndarray) -> np.ndarray:
+    """Orthogonal axes, the one that carries most of the products first."""
+    weight, axes = np.linalg.eigh(sample.T @ sample)
+    return np.ascontiguousarray(axes[:, np.argsort(weight)[::-1]])
+
+
+def fit_axes(rows: DataFrame) -> dict[int, np.ndarray]:
+    """Axes of the most frequent lengths, from a bounded sample. They decide speed only."""
+    lengths = [r["d"] for r in rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
+    out = {}
+    for d in lengths:
+        some = rows.where(F.col("d") == d).orderBy(F.xxhash64("row"), "row").limit(max(1, SAMPLE // len(lengths))).select("x").toArrow()["x"]
+        out[d] = principal_axes(np.array(some.to_pylist(), np.float64).reshape(len(some), d))
+    return out
+
+
+def _lists(pdf: pd.DataFrame, axes: dict[int, np.ndarray]) -> Lists:
+    return Lists(pdf["id"].to_numpy(), pdf["row"].to_numpy(), np.stack(pdf["x"].to_numpy()), axes.get(int(pdf["d"].iloc[0])))
+
+
 def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` best candidates."""
     whole = F.transform("embedding", lambda v: F.floor(F.lit(scale) * v.cast("double")).cast("double"))
-    rows = materialize(
+    plain = materialize(
         vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), whole.alias("x"), F.monotonically_increasing_id().alias("row"), F.size("embedding").alias("d")),
         "topk-vectors",
     )
-    is_query = F.col("id") % every == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES))
+    n, n_queries = plain.agg(F.count("*"), F.count_if(F.col("id") % every == 0)).first()
+    n_shards, n_blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES))
     at = F.xxhash64("row")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    listed = rows.withColumn("shard", F.pmod(at, F.lit(shards)).cast("int")).withColumn("block", each(blocks))
-    asked = rows.where(is_query).withColumn("block", F.pmod(at, F.lit(blocks)).cast("int")).withColumn("shard", each(shards))
-    cols = ["d", "shard", "block", "row", "id", "x"]
+    rows = plain.withColumn("shard", F.pmod(at, F.lit(n_shards)).cast("int"))
+    asked = rows.where(F.col("id") % every == 0)
+    axes = fit_axes(plain)
+    cols = ["d", "shard", "row", "id", "x"]
+
+    def own(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_row", "floor"]
+        if left.empty or right.empty:
+            return pd.DataFrame(columns=names)
+        lists = _lists(left, axes)
+        got = ((int(r), lists.search(int(r), np.asarray(q), k)[1]) for r, q in zip(right["row"], right["x"]))
+        return pd.DataFrame([(r, scores.min() if len(scores) == k else None) for r, scores in got], columns=names)
+
+    def heads(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists = _lists(pdf, axes)
+        return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "low": [lists.values[0]], "high": [lists.values[-1]]})
+
+    floors = materialize(rows.select(cols).groupBy("d", "shard").cogroup(asked.select(cols).groupBy("d", "shard")).applyInPandas(own, "query_row long, floor double"), "topk-floors")
+    queries = asked.join(floors.withColumnRenamed("query_row", "row"), "row", "left").select("d", "row", "id", "x", "floor", F.pmod(at, F.lit(n_blocks)).cast("int").alias("block"))
+    width = plain.agg(F.max("d")).first()[0] or 0
+    if 16 * width * n_shards <= HEADS:
+        known: dict[int, list] = {}
+        for r in rows.select(cols).groupBy("d", "shard").applyInPandas(heads, "d int, shard int, low array<double>, high array<double>").collect():
+            known.setdefault(r["d"], []).append((r["shard"], r["low"], r["high"]))
+        tops = {d: (np.array([s for s, _, _ in own_], np.int32), np.array([lo for _, lo, _ in own_]), np.array([hi for _, _, hi in own_])) for d, own_ in known.items()}
+
+        def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The shards that each query has to visit."""
+            for batch in batches:
+                lists = []
+                for d, x, floor in zip(batch.column("d").to_pylist(), batch.column("x").to_pylist(), batch.column("floor").to_pylist()):
+                    shards, low, high = tops[d]
+                    q = np.array(x)
+                    turned = q @ axes[d] if d in axes else q
+                    bound = np.maximum(low * turned, high * turned).sum(1)
+                    lists.append(shards[bound + SLACK >= (-np.inf if floor is None else floor)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+
+        queries = queries.mapInArrow(reach, "d int, row long, id long, x array<double>, floor double, block int, shards array<int>")
+    else:
+        queries = queries.withColumn("shards", F.sequence(F.lit(0), F.lit(n_shards - 1)))
+    visits = queries.select("d", "block", "row", "id", "x", "floor", F.explode("shards").alias("shard"))
+    listed = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["query_row", "query_id", "row", "vec_id", "score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        got = threshold_top_k(left["id"].to_numpy(), left["row"].to_numpy(), np.stack(left["x"].to_numpy()), [(int(r), np.asarray(q)) for r, q in zip(right["row"], right["x"])], k)
-        ids = dict(zip(right["row"], right["id"]))
-        return pd.DataFrame([(a, ids[a], b, c, s) for a, b, c, s in got], columns=names)
-
-    found = listed.select(cols).groupBy("d", "shard", "block").cogroup(asked.select(cols).groupBy("d", "shard", "block")).applyInPandas(meet, "query_row long, query_id long, row long, vec_id long, score long")
+        lists = _lists(left, axes)
+        out = []
+        for r, i, q, floor in zip(right["row"], right["id"], right["x"], right["floor"]):
+            found, scores, _, _ = lists.search(int(r), np.asarray(q), k, -np.inf if pd.isna(floor) else float(floor))
+            out += [(int(r), int(i), int(lists.rows[a]), int(lists.ids[a]), int(s)) for a, s in zip(found, scores)]
+        return pd.DataFrame(out, columns=names)
+
+    keys = ["d", "shard", "block"]
+    found = listed.select(*cols, "block").groupBy(*keys).cogroup(visits.select(*cols, "block", "floor").groupBy(*keys)).applyInPandas(meet, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "topk")
+    release(plain, floors)
+    return out
 
 
 #: What :func:`top_k` returns for ``embeddings``, as DuckDB SQL.
