@@ -152,15 +152,19 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST) -> DataFrame:
 
     label = classes.schema["label"].dataType.simpleString()
     dealt = materialize(classes.select("c", "label", "d", "x").mapInArrow(deal, f"c long, label {label}, d int, home int, probes array<int>"), "vector-lists")
+    by = ["label", "d", "list"]
     lists = dealt.groupBy("label", "d", F.col("home").alias("list")).agg(F.ceil(F.count("*") / LIST).cast("int").alias("parts"))
+    askers = dealt.select("label", "d", F.explode("probes").alias("list")).groupBy(*by).agg(F.ceil(F.count("*") / LIST).cast("int").alias("blocks"))
     # the lists are few: LISTS per length and label at most
-    lists = materialize(lists, "list-sizes")
-    place = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
+    lists = materialize(lists.join(askers, by), "list-sizes")
+    # a task holds one part of a list's rows and one block of those that search it
+    place = lambda n: F.pmod(F.xxhash64("c"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     carried = classes.select("c", "x", "copies")
-    by = ["label", "d", "list"]
-    stored = dealt.withColumn("list", F.col("home")).join(lists, by).withColumn("part", place).join(carried, "c")
-    asking = dealt.withColumn("list", F.explode("probes")).join(lists, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(carried, "c")
-    keys, cols = ["label", "d", "list", "part"], ["label", "d", "list", "part", "c", "copies", "x"]
+    stored = dealt.withColumn("list", F.col("home")).join(lists, by).withColumn("part", place("parts")).withColumn("block", every("blocks")).join(carried, "c")
+    asking = dealt.withColumn("list", F.explode("probes")).join(lists, by).withColumn("block", place("blocks")).withColumn("part", every("parts")).join(carried, "c")
+    keys = [*by, "part", "block"]
+    cols = [*keys, "c", "copies", "x"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["kind", "a", "b"]
