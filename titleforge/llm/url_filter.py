@@ -47,8 +47,8 @@ ORDER = 3
 _PUNCTUATION = "./_-?=&#%:~+"
 #: Letters, digits as 0, punctuation, * for the rest, ^ before the start, $ at the end.
 SYMBOLS = string.ascii_lowercase + "0" + _PUNCTUATION + "*^$"
-#: Entries up to which a model is broadcast (about 40 bytes each).
-BROADCAST_GRAMS = 400_000
+#: A model has no more entries than grams of ``SYMBOLS`` (about 3 million of 40 bytes): it can always be broadcast.
+MOST_GRAMS = len(SYMBOLS) ** (ORDER + 1)
 
 
 def host(url: Column) -> Column:
@@ -125,16 +125,11 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     grams = _grams(rows.select("_row", "_ruled", "_text"))
     counts = grams.groupBy("_gram").agg(*(F.sum((F.col("_ruled").eqNullSafe(kind)).cast("long")).alias(kind) for kind in ("allow", "block")))
     model = materialize(ratios(materialize(counts, "url-grams")), "url-model")
-    if model.count() <= BROADCAST_GRAMS:
-        model = F.broadcast(model)
-    carried = ("page_id", "host", "path", "rule", "_ruled", "_text")
-    scored = (
-        _grams(rows)
-        .join(model, "_gram")
-        .groupBy("_row")
-        .agg(*(F.first(c).alias(c) for c in carried), F.avg("_ratio").alias("score"))
-    )
-    scored = materialize(scored, "url-scores")
+    if model.count() > MOST_GRAMS:
+        raise AssertionError("more grams than the symbols allow")
+    # of a row only its number goes with each character; its mean joins it again
+    means = _grams(rows.select("_row", "_text")).select("_row", "_gram").join(F.broadcast(model), "_gram").groupBy("_row").agg(F.avg("_ratio").alias("score"))
+    scored = materialize(rows.join(means, "_row"), "url-scores")
     of = scored.agg(
         *(f(F.when(F.col("_ruled") == kind, F.col("score"))).alias(f"{name}_{kind}") for kind in ("allow", "block") for name, f in (("m", F.avg), ("s", F.stddev_pop)))
     )
