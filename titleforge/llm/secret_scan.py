@@ -3,7 +3,8 @@
 Parts are found by patterns: strong ones (the base) are always reported; weak
 ones, which alone mean little, only where the complementary parts of a
 credential stand within ``SCOPE`` code points: a weak secret near an access
-identifier, a weak identifier near a secret, an endpoint near both. The
+identifier, a weak identifier (a short key, a user, a mail address) near a secret, an
+endpoint near both. The
 nearness is the gap from a part's end to the next one's start, by an interval
 join: positions are cut into buckets of the scope's width, the parts of a role
 that touch a bucket are reduced to their first start and last end, and each part
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import materialize
 
 #: Kinds in the order of equal starts; the first three are the base.
-KINDS = ("assign", "access", "hex", "weak_assign", "weak_access", "weak_hex", "endpoint")
+KINDS = ("assign", "access", "hex", "weak_assign", "weak_access", "weak_hex", "user", "endpoint")
 SCOPE = 200
 MASK = "[SECRET]"
 
@@ -39,6 +40,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 #: hide a longer match, so the lower limit may stand in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{12,}"
+#: A labelled user, account or client, or a mail address: an identifier, never reported alone.
+USER = r"""(?i)\b(?:user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{2,}|\b[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"""
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b"
 
 #: Least lengths: of the strong (base) and weak parts.
@@ -46,7 +49,7 @@ ASSIGN_STRONG, ASSIGN_WEAK = 12, 8
 ACCESS_STRONG = 18
 HEX_STRONG = 16
 
-_ROLE = {"assign": "secret", "weak_assign": "secret", "hex": "secret", "weak_hex": "secret", "access": "id", "weak_access": "id", "endpoint": "endpoint"}
+_ROLE = {"assign": "secret", "weak_assign": "secret", "hex": "secret", "weak_hex": "secret", "access": "id", "weak_access": "id", "user": "id", "endpoint": "endpoint"}
 
 
 def _runs(text: Column, pattern: str, kind: Column | None = None) -> Column:
@@ -74,6 +77,7 @@ def _parts(docs: DataFrame) -> DataFrame:
         _runs(text, ASSIGN, _assign_kind),
         F.when(F.contains(text, F.lit("AKIA")), _runs(text, ACCESS, lambda m: F.when(F.length(m) >= ACCESS_STRONG, "access").otherwise("weak_access"))).otherwise(none),
         _runs(text, HEX, _hex_kind),
+        F.when(text.rlike(r"(?i)@|user|login|account|client"), _runs(text, USER, lambda m: F.lit("user"))).otherwise(none),
         F.when(text.rlike(r"://|[0-9]\.[0-9]"), _runs(text, ENDPOINT, lambda m: F.lit("endpoint"))).otherwise(none),
     )
     # the piece after the last match comes out with a null length
