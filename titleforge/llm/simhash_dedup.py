@@ -10,7 +10,9 @@ of each. The tree is built on a bounded sample, which decides only how even the
 leaves are. In a leaf the same recursion goes on until blocks are small enough to
 compare; blocks that it doesn't shrink (one cloud of near copies) are linked by
 sorting under all masks of two bits, which costs as much per fingerprint however
-dense the cloud is. A leaf returns a star per component, not pairs.
+dense the cloud is. A leaf returns a star per component, not pairs. How many rows a
+cloud has doesn't matter, as equal fingerprints are one: within 4 bits of a point
+there are 679,121 fingerprints at most.
 
 Cases:
 
@@ -18,7 +20,7 @@ Cases:
 * exact copies share one fingerprint and are compared once;
 * ids may repeat: an id links what its rows link, and a component is named by its
   smallest id; null ids don't name a component (null if there is no other);
-* other columns are ignored here; :func:`deduplicated` keeps them;
+* other columns are ignored here; :func:`deduplicated` keeps them, whatever their names;
 * an empty table gives an empty result.
 """
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_map, materialize
+from ._common import arrow_map, free_names, materialize
 from .components import connected_components, forest
 
 #: Words in a shingle, seed of its hash, and bits in which linked fingerprints differ at most.
@@ -242,17 +244,18 @@ def components(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of the least id."""
     names = docs.columns
+    fp, row = free_names(names, "_simhash_fp", "_simhash_row")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "_simhash_fp"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, fp])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_simhash_fp", T.LongType())])
-    whole = materialize(arrow_map(docs, run, schema).withColumn("_simhash_row", F.monotonically_increasing_id()), "fingerprinted")
-    rows = whole.select("_simhash_row", "doc_id", F.col("_simhash_fp").alias("fp"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(fp, T.LongType())])
+    whole = materialize(arrow_map(docs, run, schema).withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    rows = whole.select(F.col(row).alias("row"), "doc_id", F.col(fp).alias("fp"))
     labelled = rows.join(named_components(rows).select("fp", "label"), "fp")
-    first = labelled.groupBy("label").agg(F.min_by("_simhash_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_simhash_row")).alias("_simhash_row"))
-    return whole.join(first.select("_simhash_row"), "_simhash_row", "left_semi").select(*names)
+    first = labelled.groupBy("label").agg(F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias(row))
+    return whole.join(first.select(row), row, "left_semi").select(*names)
 
 
 def _hex(fp: Column) -> Column:
