@@ -36,8 +36,6 @@ from ._common import arrow_map, held_out, labelled_sample, materialize, release
 
 #: Labelled documents that the evidence is learned from, at most.
 SAMPLE = 20_000
-#: Features with evidence that a model holds, at most (by significance).
-FEATURES = 50_000
 #: Lengths of the word beginnings that are features.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Prior documents per feature, shared between the kinds by their sizes.
@@ -251,8 +249,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int
         )
 
     counts = arrow_map(sample, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a feature in fewer toxic documents can't be significant under the prior
-    kept = counts.where((F.col("feature") == "") | (F.col("toxic") >= 3)).orderBy(F.col("feature") != "", (F.col("clean") / F.col("toxic")), F.desc("toxic"), "feature").limit(FEATURES + 1).toArrow()
+    # a feature in fewer toxic documents can't be significant under the prior, nor one that is
+    # commoner in clean ones reach LEAST_ODDS; the rest is bounded by the sample's toxic words
+    sizes = counts.where("feature = ''").select(F.col("toxic").alias("n1"), F.col("clean").alias("n0"))
+    likely = counts.join(F.broadcast(sizes), F.lit(True)).where("feature = '' or (toxic >= 3 and toxic * n0 > clean * n1)")
+    kept = likely.select("feature", "toxic", "clean").toArrow()
     total = {f: (a, b) for f, a, b in zip(kept["feature"].to_pylist(), kept["toxic"].to_pylist(), kept["clean"].to_pylist())}
     n1, n0 = total.pop("", (0, 0))
     if not n1 or not n0:
@@ -274,9 +275,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int
                 sums[-model.drift] += len(words) - len(hits)
                 for _, s in hits:
                     sums[round(s, 3)] += 1
+        # scores to three decimals in a bounded range: a bounded table
         return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.float64()), pa.array(list(sums.values()), pa.int64())], ["s", "n"])
 
-    tallied = arrow_map(sample, tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).limit(FEATURES).toArrow()
+    tallied = arrow_map(sample, tally, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
     if tallied.num_rows:
         model.lam = karlin_lambda(tallied["s"].to_numpy(), tallied["n"].to_numpy().astype(float))
     model._known.clear()
@@ -284,7 +286,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", mod: int
     def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([model.statistic(t) for t in batch.column("text").to_pylist()], pa.float64()), batch.column("_label").cast(pa.int32())], ["x", "y"])
 
-    rows = arrow_map(sample, stats, "x double, y int").limit(2 * limit).toArrow()
+    rows = arrow_map(sample, stats, "x double, y int").toArrow()
     model.slope, model.shift = calibrate(rows["x"].to_numpy(), (rows["y"].to_numpy() != 0).astype(float))
     model._known.clear()
     release(sample)
