@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from titleforge.llm._common import materialize, table
+from titleforge.llm._common import materialize, release_since, table, written
 from titleforge.llm.mixing import mixed
 from titleforge.llm.quality_classifier import keep_good
 from titleforge.llm.secret_scan import redacted
@@ -43,12 +43,14 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("encode", encode)]
 
-#: The first stage is a learned model, which SQL can't express; tests check the rest by brute force.
+#: The first stage is a learned model, which SQL can't express; tests compare every stage with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
+        release_since(before, docs)  # the stage before, and what this one needed
     return STAGES[-1][1](spark, docs, sf_dir)
