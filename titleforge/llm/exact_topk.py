@@ -52,7 +52,9 @@ EVERY = 20
 SHARD = 8_192
 QUERIES = 4_096
 #: Rows read from every list at first, and how much deeper each time.
-DEPTH, DEEPER = 16, 1.5
+DEPTH, DEEPER = 16, 1.25
+#: Queries whose rows are scored together.
+CHUNK = 64
 #: Vectors that the axes are fitted on, lengths that get own axes (others keep theirs).
 SAMPLE, LENGTHS = 4_096, 16
 #: Bytes of list heads up to which they go to every task; beyond, queries go to all shards.
@@ -66,52 +68,88 @@ def usable(vector: Column) -> Column:
 
 
 class Lists:
-    """A shard's rows, and the order of each axis."""
+    """A shard's rows, the order of each axis, and the values that stand at certain depths of it."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, x: np.ndarray, axes: np.ndarray | None) -> None:
-        self.ids, self.rows, self.x, self.axes = ids, rows, x, axes
+        self.ids, self.rows, self.axes = ids, rows, axes
+        self.x = x.astype(np.float32) if x.shape[1] * float(np.abs(x).max(initial=0)) ** 2 < 1 << 24 else x  # exact either way
         turned = x if axes is None else x @ axes
-        self.order = np.argsort(turned, axis=0, kind="stable")
-        self.values = np.take_along_axis(turned, self.order, 0)
+        order = np.argsort(turned, axis=0, kind="stable")
+        n = len(x)
+        depths = [DEPTH]
+        while depths[-1] < n:
+            depths.append(int(depths[-1] * DEEPER))
+        self.depths = np.minimum(np.array(depths), n)
+        ends = np.minimum(self.depths, n - 1)
+        low, high = order[ends], order[n - 1 - ends]
+        self.low, self.high = np.take_along_axis(turned, low, 0), np.take_along_axis(turned, high, 0)
+        self.heads = np.take_along_axis(turned, order[[0, n - 1]], 0)
+        self.order = np.ascontiguousarray(order.T)
         self.where = {int(r): i for i, r in enumerate(rows)}
 
-    def search(self, row: int, q: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Places and scores of a query's best ``k`` that reach the floor, its own row left out;
-        how deep the lists were read, and how many rows were scored."""
-        n = len(self.x)
-        turned = q if self.axes is None else q @ self.axes
-        pos, neg = np.flatnonzero(turned > 0), np.flatnonzero(turned < 0)
-        seen = np.zeros(n, bool)
-        own = self.where.get(row, -1)
-        if own >= 0:
-            seen[own] = True
-        found, scores = np.zeros(0, np.int64), np.zeros(0)
-        depth, scored = 0, 0
-        while depth < n:
-            best = max(floor, scores.min() if len(found) >= k else -np.inf)
-            bound = turned[pos] @ self.values[n - 1 - depth, pos] + turned[neg] @ self.values[depth, neg]
-            if bound + SLACK < best:
+    def _read(self, seen: np.ndarray, turned: np.ndarray, depth: int) -> None:
+        """Mark what a query's lists show down to a depth, unless all rows are marked already."""
+        n = len(seen)
+        for i, axis in enumerate(np.argsort(-np.abs(turned)).tolist()):
+            if turned[axis] > 0:
+                seen[self.order[axis, n - depth :]] = True
+            elif turned[axis] < 0:
+                seen[self.order[axis, :depth]] = True
+            if i % 8 == 7 and seen.all():
                 break
-            to = min(n, max(DEPTH, int(depth * DEEPER)))
-            before = seen.copy()
-            if len(pos) + len(neg):
-                seen[self.order[n - to : n - depth, pos]] = True
-                seen[self.order[depth:to, neg]] = True
-            else:  # a query of zeros has no lists; all rows score 0
-                seen[:], to = True, n
-            if to == n:
-                seen[:] = True
-            fresh = np.flatnonzero(seen & ~before)
-            scored += len(fresh)
-            # many rows: a product over all needs no copy of theirs
-            new = (self.x @ q)[fresh] if 4 * len(fresh) > n else self.x[fresh] @ q
-            good = new >= floor
-            found, scores = np.concatenate([found, fresh[good]]), np.concatenate([scores, new[good]])
-            if len(found) > k:
-                kept = _best(self.ids, found, scores, k)
-                found, scores = found[kept], scores[kept]
-            depth = to
-        return found, scores, depth, scored
+
+    def search(self, rows: list[int], queries: np.ndarray, k: int, floors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        """For each query places and scores of its best ``k`` that reach its floor, its own row left
+        out; how deep the lists were read, and how many rows were scored. Queries go in chunks, whose
+        rows are scored together."""
+        for i in range(0, len(rows), CHUNK):
+            yield from self._chunk(rows[i : i + CHUNK], queries[i : i + CHUNK], k, floors[i : i + CHUNK].copy())
+
+    def _chunk(self, rows: list[int], q: np.ndarray, k: int, best: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+        n, m = len(self.x), len(rows)
+        floors = best.copy()
+        turned = q if self.axes is None else q @ self.axes
+        # what a row that no list has shown down to each depth can reach at most
+        bounds = np.maximum(turned, 0) @ self.high.T + np.minimum(turned, 0) @ self.low.T + SLACK
+        own = [self.where.get(r, -1) for r in rows]
+        seen = np.zeros((m, n), bool)
+        at = np.full(m, -1)  # the depth reached, as a place in ``depths``
+        out: list = [(np.zeros(0, np.int64), np.zeros(0))] * m
+        open_ = list(range(m))
+        while open_:
+            for j in open_:
+                enough = np.flatnonzero(bounds[j] < best[j])
+                if len(enough):  # from here on nothing unseen can matter
+                    at[j] = max(at[j] + 1, enough[0])
+                else:  # no score to beat yet, or none that the bound falls below
+                    at[j] = min(at[j] + 4, len(self.depths) - 1) if at[j] < 4 else len(self.depths) - 1
+                depth = self.depths[at[j]]
+                if depth == n or not turned[j].any():
+                    seen[j], at[j] = True, len(self.depths) - 1
+                else:
+                    self._read(seen[j], turned[j], depth)
+                if own[j] >= 0:
+                    seen[j, own[j]] = False
+            some = np.flatnonzero(seen[open_].any(0))
+            wanted = q[open_].astype(self.x.dtype).T
+            scores = (self.x @ wanted if 4 * len(some) > n else self.x[some] @ wanted).T
+            left = []
+            for j, all_ in zip(open_, scores):
+                mine = np.flatnonzero(seen[j])
+                got = all_[mine] if 4 * len(some) > n else all_[np.searchsorted(some, mine)]
+                good = got >= floors[j]
+                found, got = mine[good], got[good].astype(np.float64)
+                if len(found) > k:
+                    kept = _best(self.ids, found, got, k)
+                    found, got = found[kept], got[kept]
+                out[j] = (found, got)
+                if len(got) == k:
+                    best[j] = max(best[j], got.min())
+                if self.depths[at[j]] < n and not bounds[j, at[j]] < best[j]:
+                    left.append(j)
+            open_ = left
+        for j in range(m):
+            yield (*out[j], int(self.depths[at[j]]), int(seen[j].sum()))
 
 
 def _best(ids: np.ndarray, found: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -159,13 +197,13 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
         names = ["query_row", "floor"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        lists = _lists(left, axes)
-        got = ((int(r), lists.search(int(r), np.asarray(q), k)[1]) for r, q in zip(right["row"], right["x"]))
-        return pd.DataFrame([(r, scores.min() if len(scores) == k else None) for r, scores in got], columns=names)
+        asking = [int(r) for r in right["row"]]
+        got = _lists(left, axes).search(asking, np.stack(right["x"].to_numpy()), k, np.full(len(asking), -np.inf))
+        return pd.DataFrame([(r, scores.min() if len(scores) == k else None) for r, (_, scores, _, _) in zip(asking, got)], columns=names)
 
     def heads(pdf: pd.DataFrame) -> pd.DataFrame:
-        lists = _lists(pdf, axes)
-        return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "low": [lists.values[0]], "high": [lists.values[-1]]})
+        low, high = _lists(pdf, axes).heads
+        return pd.DataFrame({"d": [int(pdf["d"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "low": [low], "high": [high]})
 
     floors = materialize(rows.select(cols).groupBy("d", "shard").cogroup(asked.select(cols).groupBy("d", "shard")).applyInPandas(own, "query_row long, floor double"), "topk-floors")
     queries = asked.join(floors.withColumnRenamed("query_row", "row"), "row", "left").select("d", "row", "id", "x", "floor", F.pmod(at, F.lit(n_blocks)).cast("int").alias("block"))
@@ -198,11 +236,11 @@ def top_k(vectors: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY
         names = ["query_row", "query_id", "row", "vec_id", "score"]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        lists = _lists(left, axes)
+        lists, asking = _lists(left, axes), [int(r) for r in right["row"]]
+        floor = right["floor"].fillna(-np.inf).to_numpy(np.float64)
         out = []
-        for r, i, q, floor in zip(right["row"], right["id"], right["x"], right["floor"]):
-            found, scores, _, _ = lists.search(int(r), np.asarray(q), k, -np.inf if pd.isna(floor) else float(floor))
-            out += [(int(r), int(i), int(lists.rows[a]), int(lists.ids[a]), int(s)) for a, s in zip(found, scores)]
+        for r, i, (found, scores, _, _) in zip(asking, right["id"], lists.search(asking, np.stack(right["x"].to_numpy()), k, floor)):
+            out += [(r, int(i), int(lists.rows[a]), int(lists.ids[a]), int(s)) for a, s in zip(found, scores)]
         return pd.DataFrame(out, columns=names)
 
     keys = ["d", "shard", "block"]
