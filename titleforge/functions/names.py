@@ -87,6 +87,52 @@ def village_match(a: Column, b: Column, a_latin: Column | None = None, b_latin:
     return match.otherwise("mismatch")
 
 
+# pairs of places by the million: the expression above with two spellings each is too large to compile
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _village(name: str) -> str:
+    s = re.sub(r"\s*\(\s*(?:r|rural|u|urban|town|village|municipality|corp)\s*\)\s*", " ", name.strip().lower())
+    s = re.sub(r"\s+", " ", re.sub(r"[,.\-'\"()]", "", s)).strip()
+    return next((s[: -len(end)] + put for end, put in ENDINGS if s.endswith(end) and len(s) > len(end)), s)
+
+
+def _sounds(s: str) -> str:
+    for a, b in SOUNDS:
+        s = s.replace(a, b)
+    return s
+
+
+def village_match_text(a: str | None, b: str | None) -> str:
+    """exact, fuzzy, cross_script or mismatch of two places' names, Tamil or Latin."""
+    na, nb = _village(a or ""), _village(b or "")
+    if not na or not nb:
+        return "mismatch"
+    if na == nb:
+        return "exact"
+    if na in nb or nb in na or _edits(na, nb) <= 2:
+        return "fuzzy"
+    if has_tamil_text(a) or has_tamil_text(b):
+        la, lb = (_village(transliterate_text(x)) if has_tamil_text(x) else n for x, n in ((a, na), (b, nb)))
+        pa, pb = _sounds(la), _sounds(lb)
+        if la and lb and (pa == pb or la in lb or lb in la or _edits(pa, pb) <= max(5, min(len(pa), len(pb)) // 2)):
+            return "cross_script"
+    return "mismatch"
+
+
+@pandas_udf(T.StringType())
+def village_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([village_match_text(x, y) for x, y in zip(a, b)], dtype="object")
+
+
 # likeness: the ratio of matching blocks has no SQL form
 
 
@@ -113,7 +159,7 @@ def base_similarity(a: str, b: str) -> float:
     if a.replace(" ", "") == b.replace(" ", ""):
         return 1.0
     if has_tamil_text(a) or has_tamil_text(b):
-        la, lb = (re.sub(_INITIAL, "", transliterate_text(x) if has_tamil_text(x) else x).strip() for x in (a, b))
+        la, lb = compare_form(a), compare_form(b)
         if la and lb:
             a, b = la, lb
             if a.replace(" ", "") == b.replace(" ", ""):
@@ -126,6 +172,11 @@ def base_similarity(a: str, b: str) -> float:
     return score
 
 
+def compare_form(s: str) -> str:
+    """For comparing across scripts: Latin letters, without initials."""
+    return re.sub(_INITIAL, "", transliterate_text(s) if has_tamil_text(s) else s).strip()
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Likeness of two names, 0 to 1; patronymics count 0.4 if both have one."""
     (g1, p1), (g2, p2) = _given_and_father(a or ""), _given_and_father(b or "")

@@ -136,3 +136,14 @@ def match_text(a: str | None, b: str | None) -> str:
 def match_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
     """For pairs by the million: the expression takes longer to plan than this to run."""
     return pd.Series([match_text(x, y) for x, y in zip(a, b)], dtype="object")
+
+
+@pandas_udf(T.StringType())
+def match_lists(a: pd.Series, b: pd.Series) -> pd.Series:
+    """How the first two normal forms of two lists that match do so; mismatch if none does."""
+    return pd.Series([next((m for x in u for y in v if (m := match_text(x, y)) != "mismatch"), "mismatch") for u, v in zip(a, b)], dtype="object")
+
+
+def any_survey_kind(a: Column | str, b: Column | str) -> Column:
+    """exact, subdivision, ocr_fuzzy or mismatch of two lists of survey numbers."""
+    return match_lists(F.transform(a, normalize_survey), F.transform(b, normalize_survey))

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.jurisdiction import jurisdiction
-from ..functions.names import name_similarity, normalize_name, normalize_village
+from ..functions.names import normalize_name, village_pairs
 from ..functions.scalars import parse_date, suspiciously_round
 from ..functions.surveys import VALID, match_pairs, normalize_survey, survey_kind
 from ..functions.tamil import garbled
+from ..functions.variants import text_leaves
 from ..sources.cases import CaseTables
+from . import identity
 from .chain import CHAIN_RELEVANT
-from .identity import MERGE, chain_breaks
+from .identity import chain_breaks
 from .sequences import relative_difference
 
 #: Rates and thresholds.
@@ -36,6 +38,12 @@ FEATURES = (
     "railway", "rail line", "power line", "ht line", "electric", "government land", "govt land", "poramboke", "poramboku", "burial ground", "cremation", "temple", "church", "mosque",
     "sewage", "sewer", "pipeline",
 )
+FEATURES_TAMIL = (
+    "வாய்க்கால்", "கால்வாய்", "நீர்வழி", "ஓடை",
+    "சாலை", "பாதை", "தெரு", "ரோடு",
+    "ரயில்", "மின்சார", "அரசு நிலம்", "புறம்போக்கு",
+    "குளம்", "ஏரி", "கிணறு", "ஆறு",
+)
 
 COLUMNS = ("case_id", "rule_code", "severity", "status", "evidence", "filename")
 Rule = Callable[[CaseTables, str], DataFrame]
@@ -137,18 +145,27 @@ def area_consistency(t: CaseTables, as_of: str) -> DataFrame:
 
 @rule
 def party_names(t: CaseTables, as_of: str) -> DataFrame:
-    """Buyer against patta owner, and the last claimant before a deed against its seller."""
-    owners = t.patta_owners.select("case_id", F.col("name").alias("owner"))
-    likeness = t.parties.join(owners, "case_id").withColumn("s", name_similarity("name", "owner")).groupBy("case_id", "role").agg(F.max("s").alias("s"), F.max_by(F.struct("name", "owner"), "s").alias("who"))
-    by_case = likeness.groupBy("case_id").agg(F.max(F.when(F.col("role") == "buyer", F.col("s"))).alias("buyer"), F.max(F.when(F.col("role") == "seller", F.col("s"))).alias("seller"), F.lit("").alias("filename"))
-    text = F.format_string("buyer %.2f, seller %.2f", "buyer", "seller")
-    code = F.when((F.col("buyer") >= MERGE) | (F.col("seller") >= MERGE), "DET_BUYER_PATTA_MATCH").otherwise("DET_BUYER_PATTA_MISMATCH")
-    severity = F.when((F.col("buyer") < MERGE) & (F.col("seller") >= MERGE), "MEDIUM").otherwise("HIGH")
-    status = F.when(F.col("buyer") >= MERGE, "PASS").when(F.col("seller") >= MERGE, "INFO").otherwise("WARNING")
-    owner = check(by_case, code, severity, status, text)
-    last = t.transactions.where(F.col("kind").isin(*CHAIN_RELEVANT)).groupBy("case_id").agg(F.max_by("buyer_or_claimant", F.struct("doc_ord", "pos")).alias("claimant"))
-    gap = t.parties.where("role = 'seller'").join(last, "case_id").withColumn("s", name_similarity("name", "claimant")).groupBy("case_id").agg(F.max("s").alias("s"), F.first("claimant").alias("claimant"), F.first("filename").alias("filename"))
-    return union(owner, check(gap.where(F.col("s") < MERGE), "DET_CHAIN_NAME_GAP", "HIGH", "WARNING", F.format_string("last claimant %s, likeness %.2f", "claimant", "s")))
+    """Buyers, sellers, claimants and owners who are the same person, by identity clusters."""
+    roles = t._kept(identity.shared_roles(t.resolved))  # a row per case
+    met = lambda a, b: F.exists("clusters", lambda c: F.array_contains(c, a) & F.array_contains(c, b))
+    has = lambda r: F.exists("clusters", lambda c: F.array_contains(c, r))
+    with_ec = t.ec.select("case_id").distinct().withColumn("has_ec", F.lit(True))
+    g = roles.join(with_ec, "case_id", "left").withColumn("filename", F.lit("")).withColumn("has_ec", F.coalesce("has_ec", F.lit(False)))
+    buyer = has("buyer") & has("patta_owner")
+    pending = ~met("buyer", "patta_owner") & met("seller", "patta_owner")
+    found = g.where(buyer)
+    owner = check(
+        found,
+        F.when(met("buyer", "patta_owner") | pending, "DET_BUYER_PATTA_MATCH").otherwise("DET_BUYER_PATTA_MISMATCH"),
+        F.when(pending, "MEDIUM").otherwise("HIGH"),
+        F.when(met("buyer", "patta_owner"), "PASS").when(pending, "INFO").otherwise("WARNING"),
+        F.when(pending, "the seller is the owner: mutation is pending").otherwise("buyer against owner"),
+    )
+    same = met("ec_claimant", "patta_owner")
+    claimed = g.where(~has("buyer") & has("patta_owner") & F.col("has_ec"))
+    claimant = check(claimed, F.when(same, "DET_BUYER_PATTA_MATCH").otherwise("DET_BUYER_PATTA_MISMATCH"), "HIGH", F.when(same, "PASS").otherwise("WARNING"), F.lit("claimant against owner"))
+    gap = g.where(F.col("has_ec") & has("seller") & ~met("ec_claimant", "seller"))
+    return union(owner, claimant, check(gap, "DET_CHAIN_NAME_GAP", "HIGH", "WARNING", F.lit("no claimant is a seller")))
 
 
 def _survey_clusters(t: CaseTables) -> DataFrame:
@@ -263,13 +280,14 @@ def sro_jurisdiction(t: CaseTables, as_of: str) -> DataFrame:
 
 @rule
 def multi_village(t: CaseTables, as_of: str) -> DataFrame:
-    """Places that don't match the first stated one, by district, taluk and village."""
+    """Places that don't match the first stated one, by district, taluk and village, across scripts."""
     out = []
+    stated = t.places.where("document_type <> 'FMB'")
     for field, code, severity, status in (("district", "DET_MULTI_DISTRICT", "CRITICAL", "FAIL"), ("taluk", "DET_MULTI_TALUK", "CRITICAL", "FAIL"), ("village", "DET_MULTI_VILLAGE", "HIGH", "WARNING")):
-        named = t.places.where(F.trim(F.coalesce(field, F.lit(""))) != "").select("case_id", "doc_ord", "filename", F.col(field).alias("name"), normalize_village(F.col(field)).alias("n"))
-        first = named.groupBy("case_id").agg(F.min_by("n", "doc_ord").alias("first"))
-        apart = (F.levenshtein("n", "first") > 2) & ~F.contains(F.col("n"), F.col("first")) & ~F.contains(F.col("first"), F.col("n"))
-        odd = named.join(first, "case_id").where(apart).groupBy("case_id", "first").agg(F.array_join(F.sort_array(F.collect_set("n")), ",").alias("others"), F.min("filename").alias("filename"))
+        named = stated.where(F.trim(F.coalesce(field, F.lit(""))) != "").select("case_id", "doc_ord", "filename", F.trim(field).alias("name"))
+        first = named.groupBy("case_id").agg(F.min_by("name", "doc_ord").alias("first"))
+        apart = named.join(first, "case_id").where("name <> first").where(village_pairs("name", "first") == "mismatch")
+        odd = apart.groupBy("case_id", "first").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("others"), F.min("filename").alias("filename"))
         out.append(check(odd, code, severity, status, F.concat_ws(" / ", "first", "others")))
     return union(*out)
 
@@ -298,8 +316,8 @@ def field_formats(t: CaseTables, as_of: str) -> DataFrame:
 @rule
 def garbled_tamil(t: CaseTables, as_of: str) -> DataFrame:
     """Text values of any record, of four characters or more, whose Tamil is damaged."""
-    values = F.regexp_extract_all(F.regexp_replace("data", r'"_[A-Za-z_]+"\s*:\s*("[^"]*"|\[[^\]]*\]|\{[^}]*\})', ""), F.lit(r'[:\[,]\s*"([^"]{4,})"'), F.lit(1))
-    each = t.documents.select("case_id", "filename", F.explode(F.transform(values, lambda v: F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), 0))).alias("v")).where(garbled(F.col("v"))["is_garbled"])
+    tamil = t.documents.where(F.col("data").rlike(r"[஀-௿]|\\u0[bB][89a-fA-F]"))
+    each = tamil.select("case_id", "filename", F.explode(text_leaves("data")).alias("v")).where(F.length("v") >= 4).where(garbled(F.col("v"))["is_garbled"])
     return check(each.groupBy("case_id", "filename").agg(F.count("*").alias("n"), F.min("v").alias("v")), "DET_GARBLED_TAMIL", "HIGH", "WARNING", F.format_string("%d values, like %s", "n", "v"))
 
 
@@ -330,19 +348,27 @@ def boundary_text(c: Column) -> Column:
 
 
 def features(c: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, FEATURES)), lambda f: F.contains(boundary_text(c), f))
+    """The features that a boundary names; Tamil ones as they are written."""
+    own = F.filter(F.array(*map(F.lit, FEATURES)), lambda f: F.contains(boundary_text(c), f))
+    return F.coalesce(F.concat(own, F.filter(F.array(*map(F.lit, FEATURES_TAMIL)), lambda f: F.contains(c, f))), F.array().cast("array<string>"))
 
 
 @rule
 def boundaries(t: CaseTables, as_of: str) -> DataFrame:
-    sketch = t.fmb.select("case_id", F.explode("boundaries").alias("direction", "drawn")).withColumn("direction", F.lower("direction"))
-    met = t.boundaries.join(sketch, ["case_id", "direction"])
-    a, b = F.split(boundary_text(F.col("boundary")), " "), F.split(boundary_text(F.col("drawn")), " ")
-    apart = met.where((F.trim("boundary") != "") & (F.trim("drawn") != "") & ~F.arrays_overlap(a, b))
-    mismatch = check(apart, "DET_BOUNDARY_MISMATCH", "HIGH", "WARNING", F.format_string("%s: %s / %s", "direction", "boundary", "drawn"))
-    drawn = sketch.select("case_id", F.explode(features(F.col("drawn"))).alias("f")).groupBy("case_id").agg(F.collect_set("f").alias("drawn"))
-    told = t.boundaries.groupBy("case_id").agg(F.array_distinct(F.flatten(F.collect_list(features(F.col("boundary"))))).alias("told"), F.min("filename").alias("filename"))
-    hidden = drawn.join(told, "case_id").withColumn("h", F.sort_array(F.array_except("drawn", "told"))).where(F.size("h") > 0)
+    """Each deed against each sketch of its case: features that only the sketch names."""
+    sides = ("north", "south", "east", "west")
+
+    def by_document(rows: DataFrame, out: str, side: Column) -> DataFrame:
+        each = rows.where(F.col("direction").isin(*sides)).where(F.trim(side) != "")
+        return each.groupBy("case_id", F.col("filename").alias(f"{out}_file")).agg(F.collect_list(F.struct("direction", side.alias("text"), features(side).alias("f"))).alias(out))
+
+    sketch = t.fmb.select("case_id", "filename", F.explode("boundaries").alias("direction", "drawn")).withColumn("direction", F.lower("direction"))
+    met = by_document(t.boundaries, "told", F.col("boundary")).join(by_document(sketch, "drawn", F.col("drawn")), "case_id").withColumn("filename", F.col("told_file"))
+    silent = lambda d: (F.size(d["f"]) > 0) & F.exists("told", lambda s: (s["direction"] == d["direction"]) & (F.size(s["f"]) == 0))
+    apart = met.withColumn("odd", F.array_sort(F.transform(F.filter("drawn", silent), lambda d: F.concat_ws(": ", d["direction"], d["text"])))).where(F.size("odd") > 0)
+    mismatch = check(apart, "DET_BOUNDARY_MISMATCH", "HIGH", "WARNING", F.array_join("odd", "; "))
+    named = lambda c: F.flatten(F.transform(c, lambda d: d["f"]))
+    hidden = met.withColumn("h", F.array_sort(F.array_except(named("drawn"), named("told")))).where(F.size("h") > 0)
     return union(mismatch, check(hidden, "DET_UNDISCLOSED_ENCUMBRANCE", "MEDIUM", "WARNING", F.array_join("h", ",")))
 
 
@@ -381,10 +407,11 @@ def pre_ec_gap(t: CaseTables, as_of: str) -> DataFrame:
 
 @rule
 def continuity(t: CaseTables, as_of: str) -> DataFrame:
-    """Each transfer's buyer against the next seller, across all certificates of a case."""
-    moves = t.transactions.where(F.col("kind").isin(*CHAIN_RELEVANT)).select("case_id", "doc_ord", "pos", "filename", "seller_or_executant", "buyer_or_claimant")
-    broken = chain_breaks(moves, "case_id", ["doc_ord", "pos"], "seller_or_executant", "buyer_or_claimant")
-    breaks = check(broken, "DET_CHAIN_BREAK", "HIGH", "WARNING", F.format_string("%s, then %s", "buyer_or_claimant", "next_seller"))
+    """Each row's claimants against the next row's executants, across all certificates of a case."""
+    moves = t.transactions.select("case_id", "doc_ord", "pos", "filename", F.coalesce("seller_or_executant", F.lit("")).alias("seller"), F.coalesce("buyer_or_claimant", F.lit("")).alias("buyer"))
+    known = t.resolved.select("case_id", "name", "cluster_id").distinct()
+    broken = chain_breaks(moves, "case_id", ["doc_ord", "pos"], "seller", "buyer", cluster_of=known)
+    breaks = check(broken, "DET_CHAIN_BREAK", "HIGH", "WARNING", F.format_string("%s, then %s", "buyer", "next_seller"))
     whole = moves.groupBy("case_id").agg(F.count("*").alias("n"), F.min("filename").alias("filename")).where("n >= 2").join(broken.select("case_id").distinct(), "case_id", "left_anti")
     return union(breaks, check(whole, "DET_CHAIN_CONTINUITY", "INFO", "PASS", F.format_string("%d transfers", "n")))
 

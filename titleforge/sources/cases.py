@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_amount, parse_area, parse_date
+from ..functions.variants import each, get, text_of
 from ..operators.chain import risk_tier
 
 #: The records' layouts. Fields that come as text or as a structure stay text.
@@ -77,6 +78,20 @@ class CaseTables:
     def pattas(self) -> DataFrame:
         return self._kept(self._of("PATTA", PATTA).withColumn("sqft", parse_area(F.col("total_extent"))))
 
+    @cached_property
+    def land_records(self) -> DataFrame:
+        """Village, taluk, district and owners of the land registers, read as they are."""
+        rows = self.documents.where(F.col("document_type").isin("PATTA", "CHITTA", "A_REGISTER"))
+        v = F.col("_v")
+        read = rows.select("case_id", "doc_ord", "filename", "document_type", F.explode(F.array(F.try_parse_json("data"))).alias("_v"))
+        names = F.filter(F.transform(each(v, "owner_names"), lambda o: F.trim(text_of(o))), lambda n: n != "")
+        return self._kept(read.select("case_id", "doc_ord", "filename", "document_type", *(get(v, k).alias(k) for k in ("village", "taluk", "district")), names.alias("owners")))
+
+    @cached_property
+    def owners(self) -> DataFrame:
+        """Owners that the land registers name."""
+        return self._kept(self.land_records.select("case_id", "doc_ord", "filename", "document_type", F.posexplode("owners").alias("pos", "name")))
+
     @cached_property
     def patta_owners(self) -> DataFrame:
         return self._kept(self.pattas.select("case_id", "doc_ord", "filename", F.posexplode("owner_names").alias("pos", "o")).select("case_id", "doc_ord", "filename", "pos", "o.name"))
@@ -99,10 +114,10 @@ class CaseTables:
     def places(self) -> DataFrame:
         """Village, taluk and district of each document that states them, in document order."""
         parts = [
-            self.ec.select("case_id", "doc_ord", "filename", "village", "taluk", F.lit(None).cast("string").alias("district")),
-            self.deeds.select("case_id", "doc_ord", "filename", "property.village", "property.taluk", "property.district"),
-            self.pattas.select("case_id", "doc_ord", "filename", "village", "taluk", "district"),
-            self.fmb.select("case_id", "doc_ord", "filename", "village", "taluk", "district"),
+            self.ec.select("case_id", "doc_ord", "filename", F.lit("EC").alias("document_type"), "village", "taluk", F.lit(None).cast("string").alias("district")),
+            self.deeds.select("case_id", "doc_ord", "filename", F.lit("SALE_DEED").alias("document_type"), "property.village", "property.taluk", "property.district"),
+            self.land_records.select("case_id", "doc_ord", "filename", "document_type", "village", "taluk", "district"),
+            self.fmb.select("case_id", "doc_ord", "filename", F.lit("FMB").alias("document_type"), "village", "taluk", "district"),
         ]
         out = parts[0]
         for p in parts[1:]:
@@ -125,3 +140,10 @@ class CaseTables:
             own = rows.select("case_id", "doc_ord", "filename", F.lit(kind).alias("document_type"), F.explode(split_surveys(c)).alias("survey"))
             out = own if out is None else out.unionByName(own)
         return self._kept(out.where(F.trim("survey") != ""))
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """All mentions of persons with the cluster that each belongs to."""
+        from ..operators.identity import resolve
+
+        return self._kept(resolve(self))
