@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from titleforge.plans.driver_queries import QUERIES, SQL
+from titleforge.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

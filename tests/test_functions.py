@@ -110,5 +110,5 @@ def test_deed_hints(spark):
     (got, none) = values(spark, preparse.deed_hints(F.col("a")), [text, ""])
     assert (got.registration_number, got.document_number, got.sro) == ("R/Vadavalli/Book1/5909/2012", "5909/2012", "Vadavalli")
     assert got.survey_numbers == ["317/1A"] and got.pan_numbers == ["ABCDE1234F"] and got.consideration_amount == 4500000.0
-    assert (got.land_classification, got.payment_mode, got.encumbrance_free, got.property_type, got.ownership_transfers) == ("Dry", "Cheque", True, "agricultural", 1)
+    assert (got.land_classification, got.payment_mode, got.encumbrance_free, got.property_type, got.ownership_transfers) == ("Dry", "Cheque", True, "Agricultural", 1)
     assert none.registration_number is None and none.consideration_amount is None and not none.encumbrance_free

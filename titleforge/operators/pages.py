@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
-from ..functions.tamil import garbled, has_tamil
+from ..functions.tamil import fix_orphans, garbled, has_tamil
 
 #: Thresholds of page quality.
 MIN_CHARS, MAX_CID_RATIO, MIN_WORDS = 50, 0.15, 10
@@ -98,7 +104,7 @@ def best_pages(pages: DataFrame, by: list[str], n: int, page: str = "page_number
     """The ``n`` best pages of each document, by quality, method and page."""
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in METHOD_RANK.items() for x in kv)), F.col(method)), F.lit(2))
     order = Window.partitionBy(*by).orderBy((F.col(quality) != "HIGH").cast("int"), rank, page)
-    return pages.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank")
+    return pages.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).drop("_rank").sortWithinPartitions(*by, page)
 
 
 # cleaning
@@ -115,25 +121,44 @@ def collapse_repetitions(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)((?:\([^)]{1,10}\)|\S{1,20})(?:\s+|))\1{2,}", "$1$1$1")
 
 
-def cap_tokens(rows: DataFrame, key: str, text: str, most: int = 6, least_words: int = 30) -> DataFrame:
-    """``text`` with at most ``most`` of each token of three letters or more."""
-    words = F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))
-    each = rows.select(key, F.posexplode(words).alias("_at", "_w")).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
-    nth = Window.partitionBy(key, "_w").orderBy("_at")
-    kept = each.withColumn("_k", F.row_number().over(nth)).where((F.col("_n") < least_words) | (F.col("_k") <= most) | (F.length("_w") < 3))
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_w"))), lambda s: s["_w"]), " ").alias(text))
+def _capped(text: str, most: int, least_words: int) -> str:
+    words = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    if len(words) < least_words:
+        return " ".join(words)
+    seen: Counter = Counter()
+    out = []
+    for w in words:
+        seen[w] += 1
+        if seen[w] <= most or len(w) < 3:
+            out.append(w)
+    return " ".join(out)
+
+
+def cap_tokens(text: Column, most: int = 6, least_words: int = 30) -> Column:
+    """``text`` with at most ``most`` of each token of three letters or more. Counting inside a
+    row has no linear form among the built-in functions; this needs no exchange."""
+
+    @pandas_udf(T.StringType())
+    def capped(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else _capped(t, most, least_words))
+
+    return capped(text)
 
 
 def repeats(text: Column) -> Column:
-    """Whether a phrase repeats at once five times or more: a sign of a runaway model."""
-    return text.rlike(r"(?s)(.{4,60}?)\1{4,}")
+    """Whether a text of 50 characters or more is a runaway model's: a short token ten times
+    in a row, or a phrase of 20 to 80 characters four times."""
+    short = r"""(["']?[^"',;\n]{1,30}["']?(?:\s*[,;]?\s*))\1{9,}"""
+    return (F.length(text) >= 50) & (text.rlike(short) | text.rlike(r"(.{20,80})\1{3,}"))
 
 
 def normalize_ocr(text: Column) -> Column:
-    """Digits, survey prefixes, date separators, blank lines and repeated marks."""
+    """Digits, vowel signs, survey prefixes, date separators, blank lines and repeated marks."""
     from ..functions.scalars import ascii_digits
 
+    # orphan signs are rare: only texts that have one go through Python
     t = ascii_digits(text)
+    t = F.coalesce(F.when(t.rlike("(?<![க-ஹா-ௌ])[ா-ௌ]"), fix_orphans(t)), t)
     for letter in "SRTON":
         tail = "F" if letter == "S" else "S"
         t = F.regexp_replace(t, rf"(?i)\b{letter}\.?\s*{tail}\.?\s*No\.?\s*:?\s*", f"{letter}.{tail}.No. ")

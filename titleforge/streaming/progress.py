@@ -48,11 +48,54 @@ def idle_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 day
     return timed.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n_events")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n_events")
 
 
-def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a streaming query over what is there, and return its result."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(df: DataFrame, folder: str) -> DataFrame:
+    """Run a streaming aggregation over what is there; its result is written to files and read back.
+
+    Every micro-batch replaces the state's rows as one table, so that the last table is
+    the result and nothing of it passes through the driver.
+    """
+    written: list[str] = []
+
+    def put(rows: DataFrame, batch: int) -> None:
+        path = f"{folder}/result-{batch}"
+        rows.write.mode("overwrite").parquet(path)
+        written.append(path)
+
+    query = df.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    return spark.read.schema(df.schema).parquet(written[-1]) if written else spark.createDataFrame([], df.schema)
+
+
+def terminal(events: DataFrame, states: tuple[str, ...] = ("completed", "failed")) -> DataFrame:
+    """Events that end a session."""
+    return events.where(F.col("event_type").isin(*states))
+
+
+def after(events: DataFrame, seen: int) -> DataFrame:
+    """Events that a reader hasn't had yet, by their number."""
+    return events.where(F.col("event_id") >= seen).orderBy("event_id")
+
+
+def flushes(tokens: DataFrame, by: list[str], size: int = 500, seconds: float = 2.0) -> DataFrame:
+    """by, at, text of a model's stream -> the texts that are passed on: a flush whenever ``size``
+    characters have come and ``seconds`` have gone by since the last one, and the rest at the end."""
+    schema = ", ".join(f"{k} {tokens.schema[k].dataType.simpleString()}" for k in by)
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        out, held, last = [], "", pdf["at"].iloc[0]
+        for at, text in zip(pdf["at"], pdf["text"]):
+            held += text or ""
+            if len(held) >= size and (at - last).total_seconds() >= seconds:
+                out.append((at, held))
+                held, last = "", at
+        if held:
+            out.append((pdf["at"].iloc[-1], held))
+        keys = {k: pdf[k].iloc[0] for k in by}
+        return pd.DataFrame([{**keys, "n": i, "at": at, "text": text} for i, (at, text) in enumerate(out)], columns=[*by, "n", "at", "text"])
+
+    return tokens.select(*by, "at", "text").groupBy(*by).applyInPandas(gather, f"{schema}, n int, at timestamp, text string")
 
 
 def breaker(outcomes: DataFrame) -> DataFrame:
