@@ -39,6 +39,9 @@ class Analysis:
     as_of: str
     #: Checks of a model (case_id, rule_code, severity, status, evidence, source), if there are any.
     judged: DataFrame | None = None
+    #: Rules to run, and kinds of record that occur; None for all. Fewer make a smaller plan.
+    only: list[str] | None = None
+    kinds: tuple[str | None, ...] | None = None
 
     @cached_property
     def cases(self) -> CaseTables:
@@ -46,7 +49,7 @@ class Analysis:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self.cases._kept(fact_store.extract(self.documents))
+        return self.cases._kept(fact_store.extract(self.documents, self.kinds))
 
     @cached_property
     def conflicts(self) -> DataFrame:
@@ -59,7 +62,7 @@ class Analysis:
     @cached_property
     def checks(self) -> DataFrame:
         """Checks of the rules and the model: one per code, superseded ones marked."""
-        own = rules.run(self.cases, self.as_of).select("case_id", "rule_code", "severity", "status", "evidence", "source")
+        own = rules.run(self.cases, self.as_of, self.only).select("case_id", "rule_code", "severity", "status", "evidence", "source")
         every = own if self.judged is None else own.unionByName(self.judged.select(own.columns))
         rows = every.withColumns({"guardrail_warnings": F.array().cast("array<string>"), "verified": F.lit(False), "pos": F.xxhash64(*own.columns)})
         return self.cases._kept(scoring.supersede(scoring.dedup(rows, ["case_id"]), ["case_id"]))
