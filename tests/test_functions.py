@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from titleforge.functions import names, scalars, surveys, tamil
+from titleforge.functions import cleaning, names, scalars, surveys, tamil
 from titleforge.operators import pages, retrieval
 
 
@@ -35,6 +35,15 @@ def test_grouping_and_roundness(spark):
     assert [r[1] for r in rows] == [False, False, False, True, True, False]
 
 
+def test_rupees_round_by_the_exact_value(spark):
+    amounts = [100500.0, 101500.0, 112500.0, 137500.0, 299500.0, 10050000.0, 11250000.0, 123456789012345.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(amounts)], "i int, v double").orderBy("i")
+    want = [f"₹{v / 1e7:.2f} Cr" if v >= 1e7 else f"₹{v / 1e5:.2f} L" for v in amounts]
+    assert [r[0] for r in df.select(cleaning.short_rupees(F.col("v"))).collect()] == want and want[0] == "₹1.00 L"
+    forms = [r[0] for r in df.select(cleaning.rupee_forms(F.col("v").cast("decimal(38,0)").cast("string"))).collect()]
+    assert all((f"{v / 1e7:.2f} crore" if v >= 1e7 else f"{v / 1e5:.2f} lakh") in f for v, f in zip(amounts, forms))
+
+
 @pytest.mark.parametrize(
     ("a", "b", "want"),
     [

@@ -105,6 +105,14 @@ def indian_grouping(amount: Column) -> Column:
     return F.concat(F.when(amount < 0, "-").otherwise(""), grouped)
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded by its exact binary value and to even, without grouping.
+
+    ``format_string`` rounds the shortest decimal text of the number instead, and its halves up: 1.005 would be 1.01.
+    """
+    return F.replace(F.format_number(x, digits), F.lit(","), F.lit(""))
+
+
 def document_age(date: Column, as_of: Column) -> Column:
     """Days and years (of 365.25 days) since a date, and what follows from them."""
     days = F.datediff(as_of, date)

@@ -80,7 +80,7 @@ def rupee_forms(spark: SparkSession, sf: str) -> DataFrame:
     """An amount is found in a text however it is written."""
     n = F.floor("o_totalprice")
     forms = cleaning.rupee_forms(F.concat(F.lit("₹ "), n.cast("string")))
-    written = F.concat(F.format_string("%.2f", n / 1e5), F.lit(" lakh"))
+    written = F.concat(scalars.fixed(n / 1e5, 2), F.lit(" lakh"))
     return load(spark, sf, "orders").select("o_orderkey", F.array_contains(forms, n.cast("string")).alias("plain"), F.array_contains(forms, F.when(n >= 1000, scalars.indian_grouping(n.cast("double"))).otherwise(n.cast("string"))).alias("grouped"), F.array_contains(forms, written).alias("scaled"))
 
 
