@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from titleforge.operators import chunking, confidence, guardrails, identity, merging, reports
+from titleforge.operators import chunking, confidence, fact_store, guardrails, identity, merging, reports
 from titleforge.sources.cases import CaseTables
 from titleforge.streaming import progress
 
@@ -150,3 +150,22 @@ def test_report(spark, tmp_path):
     assert "Score 92, risk LOW" in text and ".pdf" not in text and "1. A → B (SALE)" in text
     reports.save_reports(made, str(tmp_path / "r"))
     assert spark.read.text(str(tmp_path / "r")).count() > 5
+
+
+def test_facts_of_some_keys_are_the_facts_of_those_keys(spark):
+    lines = [{"row_number": i, "seller_or_executant": "A Raman, B Mani", "buyer_or_claimant": f"C{i % 3}", "consideration_amount": 100 + i, "transaction_type": "Sale", "survey_number": "1/2", "suspicious_flags": ["x"]} for i in range(12)]
+    deed = {"seller": [{"name": "A Raman", "pan": "P", "age": "5"}], "buyer": {"name": "D"}, "property": {"survey_number": "3/1", "village": "V", "taluk": "Tambaram", "extent": "1 acre"}, "financials": {"consideration_amount": "900"}, "witnesses": ["W"], "special_conditions": ["s"]}
+    patta = {"taluk": "Uthiramerur", "village": "V", "survey_numbers": [{"survey_no": "3/1", "extent": "2 acres", "classification": "wet"}], "owner_names": [{"name": "E"}], "_field_confidence": {"taluk": "0.5"}}
+    other = {"key_parties": [{"name": "N", "role": "owner"}], "property_details": {"taluk": "X"}, "_extraction_red_flags": ["f"]}
+    docs = documents(spark, ("EC", {"taluk": "Tambaram", "transactions": lines}), ("SALE_DEED", deed), ("PATTA", patta), ("LETTER", other)).persist()
+    kinds, plain = ("EC", "SALE_DEED", "PATTA", None), ("doc_ord", "category", "key", "value", "context", "confidence", "transaction_id")
+
+    def ordered(df):
+        return [tuple(r[c] for c in plain) for r in sorted(df.collect(), key=lambda r: (r.doc_ord, r.pos))]
+
+    every = ordered(fact_store.extract(docs, kinds))
+    assert [f[3] for f in every if f[2] == "ec_executant"] == ["A Raman", "B Mani"] and [f[3] for f in every if f[2] == "ec_claimant"] == ["C0", "C1", "C2"]
+    for keys in (("taluk",), ("ec_claimant", "ec_consideration", "seller_pan", "survey_3/1_class"), ("low_confidence_fields", "minor_party", "extraction_red_flag"), fact_store.CONFLICT_KEYS, ("nothing",)):
+        assert ordered(fact_store.extract(docs, kinds, keys)) == [f for f in every if f[2] in keys]
+    found = [sorted(map(tuple, fact_store.conflicts(fact_store.extract(docs, kinds[:3], keys)).collect())) for keys in (None, fact_store.CONFLICT_KEYS)]
+    assert found[0] == found[1] and {f[2] for f in found[0]} == {"extent", "taluk", "buyer_vs_owner", "consideration_mismatch"}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -128,9 +129,16 @@ def village_match_text(a: str | None, b: str | None) -> str:
     return "mismatch"
 
 
+def _pairs_once(f: Callable[[str | None, str | None], object], a: pd.Series, b: pd.Series) -> list:
+    """``f`` of each pair; pairs that come again in a batch are worked out once."""
+    pairs = list(zip(a, b))
+    known = {p: f(*p) for p in set(pairs)}
+    return [known[p] for p in pairs]
+
+
 @pandas_udf(T.StringType())
 def village_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([village_match_text(x, y) for x, y in zip(a, b)], dtype="object")
+    return pd.Series(_pairs_once(village_match_text, a, b), dtype="object")
 
 
 # likeness: the ratio of matching blocks has no SQL form
@@ -190,4 +198,4 @@ def similarity(a: str | None, b: str | None) -> float:
 
 @pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(_pairs_once(similarity, a, b), dtype="float64")

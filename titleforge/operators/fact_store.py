@@ -222,7 +222,7 @@ def _or(c: Column, otherwise: str = "?") -> Column:
 # kinds with lists and risks
 
 
-def _ec(v: Column) -> list[Column]:
+def _ec(v: Column, keys: tuple[str, ...] | None = None) -> list[Column]:
     rows = each(v, "transactions")
     kind = lambda t: F.coalesce(get(t, "transaction_type"), F.lit(""))
     row = lambda t: _or(get(t, "row_number"))
@@ -235,23 +235,21 @@ def _ec(v: Column) -> list[Column]:
         one = lambda path, key: F.transform(F.coalesce(split_parties(get(t, path)), F.array().cast("array<string>")), lambda n: fact("party", key, n, where(t), tid(t)))
         return F.concat(one("seller_or_executant", "ec_executant"), one("buyer_or_claimant", "ec_claimant"))
 
-    people = F.flatten(F.transform(rows, names))
-    once = F.filter(people, lambda f, i: F.array_position(F.transform(people, lambda x: x["value"]), f["value"]) == i + 1)
-    plain = F.flatten(
-        F.transform(
-            rows,
-            lambda t: F.array(
-                fact("reference", "ec_doc_number", filled(get(t, "document_number")), F.concat(kind(t), F.lit(" dated "), _or(get(t, "date"))), tid(t)),
-                fact("financial", "ec_consideration", filled(get(t, "consideration_amount")), by_doc(t), tid(t)),
-                fact("encumbrance", "ec_transaction_type", F.trim(get(t, "transaction_type")), F.concat(F.lit("#"), row(t), F.lit(" dated "), _or(get(t, "date"))), tid(t)),
-                fact("property", "ec_survey_number", F.trim(get(t, "survey_number")), F.concat(where(t), F.lit(" - Doc "), doc(t)), tid(t)),
-                fact("timeline", "ec_transaction_date", F.trim(get(t, "date")), F.concat(F.lit("#"), row(t), F.lit(": "), kind(t), F.lit(" Doc "), doc(t)), tid(t)),
-                fact("financial", "ec_market_value", filled(get(t, "market_value")), by_doc(t), tid(t)),
-                fact("reference", "ec_pr_number", filled(get(t, "pr_number")), by_doc(t), tid(t)),
-                fact("property", "ec_schedule_remarks", F.substr(F.trim(get(t, "schedule_remarks")), F.lit(1), F.lit(500)), F.concat(F.lit("Transaction #"), row(t)), tid(t)),
-            ),
-        )
-    )
+    # lambdas share nothing: the list and its values are bound first, lest each name reads the whole record anew
+    people = F.transform(F.array(F.flatten(F.transform(rows, names))), lambda p: F.struct(p.alias("p"), F.transform(p, lambda x: x["value"]).alias("values")))
+    once = F.flatten(F.transform(people, lambda b: F.filter(b["p"], lambda f, i: F.array_position(b["values"], f["value"]) == i + 1)))
+    fields = {
+        "ec_doc_number": lambda t: fact("reference", "ec_doc_number", filled(get(t, "document_number")), F.concat(kind(t), F.lit(" dated "), _or(get(t, "date"))), tid(t)),
+        "ec_consideration": lambda t: fact("financial", "ec_consideration", filled(get(t, "consideration_amount")), by_doc(t), tid(t)),
+        "ec_transaction_type": lambda t: fact("encumbrance", "ec_transaction_type", F.trim(get(t, "transaction_type")), F.concat(F.lit("#"), row(t), F.lit(" dated "), _or(get(t, "date"))), tid(t)),
+        "ec_survey_number": lambda t: fact("property", "ec_survey_number", F.trim(get(t, "survey_number")), F.concat(where(t), F.lit(" - Doc "), doc(t)), tid(t)),
+        "ec_transaction_date": lambda t: fact("timeline", "ec_transaction_date", F.trim(get(t, "date")), F.concat(F.lit("#"), row(t), F.lit(": "), kind(t), F.lit(" Doc "), doc(t)), tid(t)),
+        "ec_market_value": lambda t: fact("financial", "ec_market_value", filled(get(t, "market_value")), by_doc(t), tid(t)),
+        "ec_pr_number": lambda t: fact("reference", "ec_pr_number", filled(get(t, "pr_number")), by_doc(t), tid(t)),
+        "ec_schedule_remarks": lambda t: fact("property", "ec_schedule_remarks", F.substr(F.trim(get(t, "schedule_remarks")), F.lit(1), F.lit(500)), F.concat(F.lit("Transaction #"), row(t)), tid(t)),
+    }
+    own = [f for k, f in fields.items() if keys is None or k in keys] or [*fields.values()]
+    plain = F.flatten(F.transform(rows, lambda t: F.array(*(f(t) for f in own))))
     flags = F.flatten(
         F.transform(rows, lambda t: F.transform(F.coalesce(get(t, "suspicious_flags", "array<string>"), F.array(get(t, "suspicious_flags"))), lambda x: fact("risk", "ec_suspicious_flag", F.trim(x), F.concat(where(t), F.lit(" Doc "), doc(t)), tid(t))))
     )
@@ -479,19 +477,43 @@ def _any(v: Column) -> list[Column]:
     ]
 
 
-def facts_of(v: Column, kind: str) -> Column:
-    """All facts of a record of a kind, as an array; those without a value too."""
-    plain = [fact(c, k, first_of(v, p)) for c, k, p in FIELDS.get(kind, ())]
-    people = [fact("party", k, first_of(v, p, lambda x, path: text_of(get(x, path, "variant")))) for k, p in PARTIES.get(kind, ())]
-    lists = LISTS[kind](v) if kind in LISTS else [] if kind in FIELDS else _other(v)
-    return F.concat(*([F.array(*plain, *people)] if plain or people else []), *lists, *_any(v))
+#: The keys of each list that :data:`LISTS` and :func:`_any` give, in their order; None where a record names them.
+LIST_KEYS: dict[str, tuple[tuple[str, ...] | None, ...]] = {
+    "EC": (
+        ("total_ec_entries",), ("ec_executant", "ec_claimant"),
+        ("ec_doc_number", "ec_consideration", "ec_transaction_type", "ec_survey_number", "ec_transaction_date", "ec_market_value", "ec_pr_number", "ec_schedule_remarks"),
+        ("ec_suspicious_flag",), ("ownership_transfers",), ("high_risk_transaction",),
+    ),
+    "SALE_DEED": (
+        ("seller", "seller_aadhaar", "seller_share", "seller_pan"), ("minor_party",), ("buyer", "buyer_aadhaar", "buyer_share", "buyer_pan"), ("minor_party",), ("witness",), ("stamp_serial",), ("ownership_history",), ("recital_transfer", "prior_owner"), ("special_condition",), ("encumbrance_declaration",),
+        ("undervaluation",), ("inadequate_stamp_duty",), ("gpa_sale",), ("missing_encumbrance_declaration",), ("insufficient_witnesses",), ("no_ownership_history",), ("extraction_red_flag",),
+    ),
+    "PATTA": (("survey_number",), None, ("patta_owner",)),
+    "": (("extraction_red_flag",), ("low_confidence_fields",)),
+}
+
+
+def _wanted(lists: list[Column], kind: str, keys: tuple[str, ...] | None) -> list[Column]:
+    """The lists that may have facts of the keys."""
+    of = LIST_KEYS.get(kind, (None,) * len(lists))
+    return [x for x, own in zip(lists, of, strict=True) if keys is None or own is None or set(own) & set(keys)]
 
 
-def extract(documents: DataFrame, kinds: tuple[str | None, ...] | None = None) -> DataFrame:
+def facts_of(v: Column, kind: str, keys: tuple[str, ...] | None = None) -> Column:
+    """All facts of a record of a kind, as an array; those without a value too. ``keys``: at least the facts of these keys."""
+    plain = [fact(c, k, first_of(v, p)) for c, k, p in FIELDS.get(kind, ()) if keys is None or k in keys]
+    people = [fact("party", k, first_of(v, p, lambda x, path: text_of(get(x, path, "variant")))) for k, p in PARTIES.get(kind, ()) if keys is None or k in keys]
+    lists = _wanted(_ec(v, keys) if kind == "EC" else LISTS[kind](v), kind, keys) if kind in LISTS else [] if kind in FIELDS else _other(v)
+    parts = [*([F.array(*plain, *people)] if plain or people else []), *lists, *_wanted(_any(v), "", keys)]
+    return F.concat(*parts) if parts else F.filter(F.array(fact("", "", F.lit(None))), lambda _: F.lit(False))
+
+
+def extract(documents: DataFrame, kinds: tuple[str | None, ...] | None = None, keys: tuple[str, ...] | None = None) -> DataFrame:
     """case_id, doc_ord, filename, document_type, data (JSON) -> a row per fact with a value.
 
     Documents without a record have no facts; a record that is no JSON has none either.
     ``kinds``: the kinds that occur (None: the unlisted ones), for a smaller plan.
+    ``keys``: the keys that are read, in the same order; what else a record says is not worked out.
     """
     out = None
     known = tuple(FIELDS)
@@ -499,13 +521,20 @@ def extract(documents: DataFrame, kinds: tuple[str | None, ...] | None = None) -
         rows = documents.where(F.col("document_type") == kind) if kind else documents.where(~F.coalesce(F.col("document_type"), F.lit("")).isin(*known))
         # a generator's output is read as a column, so that the text is parsed once
         parsed = rows.select("case_id", "doc_ord", F.col("filename").alias("source_file"), F.col("document_type").alias("source_type"), F.explode(F.array(F.try_parse_json("data"))).alias("_v")).where("_v IS NOT NULL")
-        own = parsed.select("case_id", "doc_ord", "source_file", "source_type", F.posexplode(facts_of(F.col("_v"), kind or "")).alias("pos", "_f")).select("case_id", "doc_ord", "source_file", "source_type", "pos", "_f.*").where(F.trim("value") != "")
+        own = parsed.select("case_id", "doc_ord", "source_file", "source_type", F.posexplode(facts_of(F.col("_v"), kind or "", keys)).alias("pos", "_f")).select("case_id", "doc_ord", "source_file", "source_type", "pos", "_f.*").where(F.trim("value") != "")
+        own = own if keys is None else own.where(F.col("key").isin(*keys))
         out = own if out is None else out.unionByName(own)
     return out
 
 
 # conflicts
 
+#: The keys that :func:`conflicts` reads: places, extents and surveys, the roles of buyers and owners, amounts.
+CONFLICT_KEYS = (
+    "survey_number", "extent", "village", "taluk", "consideration_amount", "ec_consideration",
+    *(f"{front}{role}" for role in ("buyer", "claimant", "owner") for front in ("", "ec_", "patta_", "ec_patta_")),
+)
+
 
 def _conflict(rows: DataFrame, category: str, key: str, severity: Column | str, description: Column) -> DataFrame:
     return rows.select("case_id", F.lit(category).alias("category"), F.lit(key).alias("key"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), description.alias("description"))
