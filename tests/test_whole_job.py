@@ -101,3 +101,11 @@ def test_levenshtein_pairs_compare_each_name_once(spark, tmp_path):
     # the distance is of distinct names: an aggregate lies below it, whatever the number of copies
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "levenshtein" in plan and plan.index("Aggregate") > plan.index("levenshtein")
+
+
+@pytest.mark.parametrize("name", ["ground_truth", "typed_conflicts"])
+def test_records_are_read_once(spark, name):
+    from titleforge.plans.registry import QUERIES as every
+
+    plan = every[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "variant" not in plan and "to_json" not in plan

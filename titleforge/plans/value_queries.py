@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning, jurisdiction, names, preparse, scalars, surveys, tamil
 from ..operators import classify, confidence, fact_store, guardrails, merging, pages, reports, rules, scoring
+from ..sources.shared import materialize
 from ..sources.tables import load, safe_filename
 from .cases import BASE, CASE_KINDS, documents
 
@@ -233,7 +234,7 @@ UNION ALL SELECT case_id, CAST(1 AS BIGINT), CAST(2 AS BIGINT) FROM d
 """)
 def ground_truth(spark: SparkSession, sf: str) -> DataFrame:
     """An answer about a case's taluk against the facts: one source has it, the others don't."""
-    facts = fact_store.extract(documents(spark, sf), CASE_KINDS).where("key = 'taluk'").withColumn("value", F.concat(F.col("value"), F.col("doc_ord").cast("string")))
+    facts = materialize(fact_store.extract(documents(spark, sf), CASE_KINDS, ("taluk",)).withColumn("value", F.concat(F.col("value"), F.col("doc_ord").cast("string"))), "facts")
     answer = facts.where("doc_ord = 1").select("case_id", F.lit("DET_MULTI_TALUK").alias("rule_code"), F.lit(1).alias("pos"), F.concat(F.lit("the taluk is "), F.col("value")).alias("explanation"), F.lit("").alias("evidence"), F.array().cast("array<string>").alias("guardrail_warnings"))
     return guardrails.with_ground_truth(answer, facts, ["case_id"]).select("case_id", "n_match", "n_mismatch")
 
