@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -153,3 +154,20 @@ def test_stages_on_empty_tables_and_extra_columns(spark, corpus):
 
 def test_hash_is_the_stated_one():
     assert plain_fingerprint("one two three") == xxhash.xxh64_intdigest("one two three", 42) == simhash_dedup.fingerprint("one two three") % (1 << 64)
+
+
+def test_quality_is_learned_from_every_labelled_document(spark):
+    rng = np.random.default_rng(3)
+    n, words = 600, ["alpha", "beta", "gamma", "DELTA,", "12", "x"]
+    docs = [(i, " ".join(rng.choice(words[:4] if i % 3 else words[2:], 30 + i % 50))) for i in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    used = [t for i, t in docs if zlib.crc32(str(i).encode()) % 5 != 0]
+    x = np.array([quality_classifier.features(t) for t in used])
+    many = quality_classifier.learn(df, labels, bucket=100)
+    assert many.mean == pytest.approx(x.mean(0)) and many.scale == pytest.approx(x.std(0) + 1e-6)
+    z = np.clip((x - many.mean) / many.scale, -8, 8) @ many.weight
+    bad = sum(i % 3 == 0 for i, _ in docs if zlib.crc32(str(i).encode()) % 5 != 0)
+    assert many.cut == pytest.approx(np.quantile(z, bad / len(used)))
+    one = quality_classifier.learn(df, labels)
+    assert np.corrcoef(one.score(x), many.score(x))[0, 1] > 0.95

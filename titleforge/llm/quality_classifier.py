@@ -3,7 +3,8 @@
 A document's score is a linear function of text statistics. It is learned from
 preference pairs (a document labelled 1 is preferred to one labelled 0): the
 logistic loss of the difference of their features is minimised by Newton's
-method. A quantile of the scores of the labelled sample gives the cut-off.
+method over all labelled documents that are not held out. A quantile of their
+scores gives the cut-off.
 
 Cases:
 
@@ -17,16 +18,19 @@ Cases:
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import arrow_map, held_out, labelled_sample
+from ._common import arrow_map, held_out, labelled_sample, materialize, release
 
-#: Labelled documents that the ranking is fitted on, at most.
-SAMPLE = 20_000
+#: Labelled documents whose pairs are worked on at once; more are dealt to buckets by the hash of their ids.
+BUCKET = 20_000
 #: Preference pairs per less liked document, at most.
 PAIRS_EACH = 12
 #: ``predicted`` is 1 from this score on; the cut-off quantile is mapped to it.
@@ -149,17 +153,69 @@ def fit(x: np.ndarray, y: np.ndarray) -> Ranking:
     return Ranking(mean, scale, w, cut, 1.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 5, rest: int = 0, limit: int = SAMPLE) -> Ranking:
-    """Fit on at most ``limit`` labelled documents that are not held out."""
+def fit_buckets(packed: DataFrame) -> Ranking:
+    """:func:`fit` over buckets (bucket, x and y as bytes), with pairs inside each; only sums and scores reach the driver."""
+    d = len(FEATURES)
 
-    def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
-        xs = [features(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.float64())), batch.column("_label").cast(pa.int32())], ["x", "y"])
+    def over(fn: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            keys = batch.column("bucket").to_pylist()
+            out = [fn(k, np.frombuffer(x).reshape(-1, d), np.frombuffer(y, np.int32)) for k, x, y in zip(keys, batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            return pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array([o.tolist() for o in out], pa.list_(pa.float64()))], ["bucket", "v"])
+
+        return [np.array(v) for _, v in sorted(map(tuple, arrow_map(packed, run, "bucket long, v array<double>").collect()))]
 
-    rows = arrow_map(labelled_sample(docs, labels, label, mod, rest, limit), stats, "x array<double>, y int").toArrow()
-    if not rows.num_rows:
+    n, n_good, n_bad, *total = sum(over(lambda k, x, y: np.array([len(y), (y == 1).sum(), (y == 0).sum(), *x.sum(0)])))
+    if not n_good or not n_bad:
         return neutral()
-    return fit(np.array(rows["x"].to_pylist()), rows["y"].to_numpy())
+    mean = np.array(total) / n
+    scale = np.sqrt(sum(over(lambda k, x, y: ((x - mean) ** 2).sum(0))) / n) + 1e-6
+    w = np.zeros(d)
+
+    def terms(k: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        if not len(good) or not len(bad):
+            return np.zeros(1 + d + d * d)
+        z = np.clip((x - mean) / scale, -8, 8)
+        lose = np.repeat(bad, PAIRS_EACH)
+        apart = z[np.random.default_rng([11, k]).choice(good, len(lose))] - z[lose]
+        p = 1 / (1 + np.exp(np.clip(apart @ w, -30, 30)))
+        return np.concatenate([[len(lose)], p @ apart, ((apart * (p * (1 - p))[:, None]).T @ apart).ravel()])
+
+    for _ in range(30):
+        pairs, *rest = sum(over(terms))
+        grad, hess = np.array(rest[:d]), np.array(rest[d:]).reshape(d, d)
+        step = np.linalg.solve(hess / max(1, pairs) + L2 * np.eye(d), L2 * w - grad / max(1, pairs))
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    s = np.concatenate(over(lambda k, x, y: np.clip((x - mean) / scale, -8, 8) @ w))
+    return Ranking(mean, scale, w, float(np.quantile(s, n_bad / n)), 1.0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, label: str = "quality", mod: int = 5, rest: int = 0, bucket: int = BUCKET) -> Ranking:
+    """Fit on all labelled documents that are not held out."""
+
+    def stats(batch: pa.RecordBatch) -> pa.RecordBatch:
+        xs = [features(t) for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(xs, pa.list_(pa.float64())), batch.column("_label").cast(pa.int32())], ["h", "x", "y"])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("h")
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "x": [np.stack(rows["x"].to_list()).tobytes()], "y": [rows["y"].to_numpy(np.int32).tobytes()]})
+
+    labelled = labelled_sample(docs, labels, label, mod, rest, None).withColumn("_h", F.xxhash64("doc_id"))
+    rows = materialize(arrow_map(labelled, stats, "h long, x array<double>, y int"), "quality-features")
+    n = rows.count()
+    if n <= bucket:
+        got = rows.orderBy("h").toArrow()
+        release(rows)
+        return fit(np.array(got["x"].to_pylist()), got["y"].to_numpy()) if n else neutral()
+    dealt = rows.withColumn("bucket", F.pmod("h", F.lit(-(-n // bucket))))
+    packed = materialize(dealt.groupBy("bucket").applyInPandas(pack, "bucket long, x binary, y binary"), "quality-buckets")
+    model = fit_buckets(packed)
+    release(rows, packed)
+    return model
 
 
 def score(docs: DataFrame, model: Ranking) -> DataFrame:
